@@ -1,0 +1,2 @@
+"""Intentionally empty: every source is a finite file or table, no operator is
+incremental, and the feature set has no streams to serve."""
