@@ -20,7 +20,7 @@ from kindred.functions.vectors import l2_normalize
 from kindred.functions.wordlists import ENGLISH_STOP_WORDS
 from kindred.operators import catalog as cat
 from kindred.operators import coview as cv
-from kindred.operators import terms, titles
+from kindred.operators import embeddings, quality, terms, titles
 from kindred.operators.neighbours import top_neighbours
 from kindred.operators.ranking import median
 from kindred.plans.evaluate import evaluate_per_query
@@ -615,3 +615,101 @@ def coview_eval_without_self(spark, sf):
 @query(evaluation_sql(BLEND, "SELECT round(sum(weight_sum) / sum(full_sum), 6) AS ratio FROM per_query"))
 def coview_ratio(spark, sf):
     return cv.coview_ratio(_evaluate(spark, sf, BLEND)).select(rounded(F.col("ratio")).alias("ratio"))
+
+
+# --- models (no SQL form: rows only) ---------------------------------------
+
+
+def _corpus(spark, sf):
+    return _documents(spark, sf).withColumnRenamed("doc_id", "doc")
+
+
+@query()
+def lsa_vectors(spark, sf):
+    docs = titles.stemmed_tokens(fx.catalog(spark, sf), stop_words=ENGLISH_STOP_WORDS)
+    return elements(titles.lsa_title_vectors(materialise(docs), rank=8), "id", "title_vec")
+
+
+@query()
+def lsa_explained_variance(spark, sf):
+    docs = materialise(titles.stemmed_tokens(fx.catalog(spark, sf), stop_words=ENGLISH_STOP_WORDS))
+    return titles.explained_variance(docs, [2, 4, 8])
+
+
+@query()
+def topk_lsa(spark, sf):
+    found, _ = recommend(fx.catalog(spark, sf), Model(weights=BLEND, method="lsa", lsa_rank=8, digits=DIGITS))
+    return found
+
+
+@query()
+def word2vec_train(spark, sf):
+    return elements(embeddings.train_word_vectors(_corpus(spark, sf), dim=16, epochs=2), "word", "vec")
+
+
+@query()
+def pvdm_train(spark, sf):
+    docs, _ = embeddings.train_document_vectors(materialise(_corpus(spark, sf)), dim=16, epochs=2)
+    return elements(docs, "doc", "vec")
+
+
+@query()
+def topk_document_vectors(spark, sf):
+    """Method ``dm``: title vectors inferred from a model of the titles."""
+    products = terms.with_title_tokens(fx.catalog(spark, sf)).select(F.col("id").alias("doc"), "tokens")
+    corpus = materialise(embeddings.tagged_corpus(t=products))
+    _, words = embeddings.train_document_vectors(corpus, dim=16, epochs=2)
+    vectors = embeddings.infer_document_vectors(products, words).withColumnRenamed("doc", "id")
+    return _recommend(spark, sf, BLEND, method="dm", document_vectors=materialise(vectors))
+
+
+@query()
+def sif_vectors(spark, sf):
+    docs = materialise(_tokenised(spark, sf).select("id", "tokens"))
+    counts = terms.token_counts(docs)
+    return elements(quality.weighted_document_vectors(docs, fx.words(spark, sf), counts), "id", "vec")
+
+
+@query("""
+, word_counts AS (SELECT word, count(*) AS n FROM title_words GROUP BY word),
+sif AS (SELECT id, i, avg(vec[i] * 0.001 / (0.001 + n / (SELECT count(*) FROM title_words))) AS s
+  FROM title_words JOIN words USING (word) JOIN word_counts USING (word), dims GROUP BY id, i)
+SELECT id, CAST(i - 1 AS INTEGER) AS dim, round(s, 6) + 0.0 AS value FROM sif""")
+def sif_vectors_uncentred(spark, sf):
+    docs = materialise(_tokenised(spark, sf).select("id", "tokens"))
+    counts = terms.token_counts(docs)
+    return elements(
+        quality.weighted_document_vectors(docs, fx.words(spark, sf), counts, remove_component=False), "id", "vec"
+    )
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+
+
+@query()
+def cluster_quality(spark, sf):
+    return quality.cluster_quality(_vectors(spark, sf), "embedding", "label", 10)
+
+
+@query("""WITH t AS (SELECT p_type AS l, p_brand AS r, count(*) AS n FROM part GROUP BY 1, 2),
+m AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS v,
+  (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY l)) AS a,
+  (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY r)) AS b,
+  (SELECT sum(n) * (sum(n) - 1) / 2 FROM t) AS w)
+SELECT round((v - a * b / w) / ((a + b) / 2 - a * b / w), 9) AS adjusted_rand FROM m""", prelude=False)
+def adjusted_rand(spark, sf):
+    table_ = quality.contingency(table(spark, sf, "part"), "p_type", "p_brand")
+    return quality.adjusted_rand(table_).select(rounded(F.col("adjusted_rand"), 9).alias("adjusted_rand"))
+
+
+@query()
+def classifier_quality(spark, sf):
+    return quality.classifier_quality(_vectors(spark, sf), "embedding", "label", regParam=0.1)
+
+
+@query()
+def classifier_tuning(spark, sf):
+    return quality.tune_classifier(
+        _vectors(spark, sf), "embedding", "label", [{"regParam": 0.01}, {"regParam": 0.1}], folds=3
+    )

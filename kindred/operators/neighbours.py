@@ -65,9 +65,8 @@ def without_surplus_copies(features: DataFrame, weights: Weights, k: int) -> Dat
 def _merge(shortlists: DataFrame, k: int) -> DataFrame:
     """Best member per group, then best ``k`` per query, over all tiles. One
     shuffle by query serves both steps."""
-    unit = F.when(F.col("group_id").isNull(), F.struct(F.lit(0), F.col("idY").cast("string"))).otherwise(
-        F.struct(F.lit(1), F.col("group_id"))
-    )
+    alone = F.col("group_id").isNull()
+    unit = F.struct(alone.alias("alone"), F.when(alone, F.col("idY").cast("string")).otherwise(F.col("group_id")).alias("name"))
     per_unit = Window.partitionBy("idX", "unit").orderBy(F.desc("score"), "pos", "idY")
     per_query = Window.partitionBy("idX").orderBy(F.desc("score"), F.desc("idY"))
     return (
