@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text table with at least one partition per core. One small file is read
+    as one partition, and cleaning costs far more than moving the text; a table
+    of many files is used as it is."""
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``part`` as a raw catalog: text prices with gaps, groups of any size."""
     names = F.split("p_name", " ")

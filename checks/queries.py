@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
-from checks.fixtures import PRELUDE, table
+from checks.fixtures import PRELUDE, table, texts
 from kindred.functions import distance as d
 from kindred.functions.distance import Weights
 from kindred.functions.text import clean_text
@@ -241,16 +241,16 @@ DOC_TOKENS = f"WITH t AS (SELECT doc_id, {tokens_sql('text')} AS tokens FROM doc
 
 @query(f"SELECT doc_id, {clean_sql('text')} AS cleaned FROM documents", prelude=False)
 def clean_documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", clean_text(F.col("text")).alias("cleaned"))
+    return texts(spark, sf, "documents").select("doc_id", clean_text(F.col("text")).alias("cleaned"))
 
 
 @query(f"SELECT page_id, {clean_sql('html')} AS cleaned FROM pages", prelude=False)
 def clean_pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", clean_text(F.col("html")).alias("cleaned"))
+    return texts(spark, sf, "pages").select("page_id", clean_text(F.col("html")).alias("cleaned"))
 
 
 def _documents(spark, sf):
-    return terms.with_title_tokens(table(spark, sf, "documents"), title="text").select("doc_id", "tokens")
+    return terms.with_title_tokens(texts(spark, sf, "documents"), title="text").select("doc_id", "tokens")
 
 
 @query(

@@ -75,15 +75,15 @@ def clean_text(
     if fold:
         text = fold_ascii(text)
     text = F.regexp_replace(text, eliminated, " ")
-    text = F.regexp_replace(text, r"(?<=\w)#", " number")
+    text = F.regexp_replace(text, r"#(?<=\w#)", " number")
     text = _swap(text, ("=", " = "))
-    text = F.translate(text, "0123456789", "^" * 10)
+    text = F.regexp_replace(text, "[0-9]", "^")
     text = F.regexp_replace(text, r",(?!\^)", " , ")
     text = F.regexp_replace(text, r"\.(?!\^)", " . ")
     text = F.regexp_replace(text, r"-(?!\^)", " , ")
-    text = F.regexp_replace(text, r"(?<=\^)'", f" {unit_words[0]}")
-    text = F.regexp_replace(text, r'(?<=\^)"', f" {unit_words[1]}")
-    text = F.translate(text, "'\"", "")
+    text = F.regexp_replace(text, r"'(?<=\^')", f" {unit_words[0]}")
+    text = F.regexp_replace(text, r'"(?<=\^")', f" {unit_words[1]}")
+    text = F.regexp_replace(text, "['\"]", "")
     text = _swap(text, ("$", " dollars "))
     text = F.lower(text)
     return F.regexp_replace(text, r",([\s\x1c-\x1f]*,)+", ",")
@@ -91,8 +91,9 @@ def clean_text(
 
 def word_tokens(cleaned: Column) -> Column:
     """Tokens of a cleaned text, in order, repeats kept."""
-    boundary = "|".join(rf"(?<=\b{a})(?={b}\b)" for a, b in FUSED_WORDS)
-    return F.regexp_extract_all(F.regexp_replace(cleaned, boundary, " "), F.lit(TOKEN), F.lit(1))
+    fused = "|".join(rf"{a}(?={b}\b)" for a, b in FUSED_WORDS)
+    parted = F.regexp_replace(cleaned, rf"\b({fused})", "$1 ")
+    return F.regexp_extract_all(parted, F.lit(TOKEN), F.lit(1))
 
 
 def without_stop_words(tokens: Column, stop_words: Iterable[str] = ENGLISH_STOP_WORDS) -> Column:

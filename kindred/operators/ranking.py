@@ -42,7 +42,7 @@ def geometric_cutoff(ini: float = 0.95) -> int:
     """Number of ranks whose weight is not exactly zero in double precision."""
     if not 0 < ini < 1:
         raise ValueError("the rank weight must be between 0 and 1")
-    return math.floor(math.log(5e-324) / math.log(ini)) + 2
+    return math.floor((math.log(5e-324) - math.log(2)) / math.log(ini)) + 8
 
 
 def median(df: DataFrame, column: str, accuracy: int = 100_000) -> DataFrame:

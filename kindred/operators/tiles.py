@@ -9,7 +9,6 @@ that holds a third of all rows is spread over as many tasks as it needs.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -25,8 +24,8 @@ from kindred.session import materialise
 
 TILE_BYTES = 64 << 20
 MAX_TILE_ROWS = 16_384
-MIN_TILE_ROWS = 512
-CHUNK_CELLS = 4_000_000
+MIN_QUERY_ROWS = 256
+CHUNK_CELLS = 500_000
 MAX_TASKS = 20_000
 NEVER = -(1 << 40)
 
@@ -50,18 +49,23 @@ class Grid:
         return left.cogroup(right).applyInArrow(kernel, schema)
 
 
-def tile_rows_for(row_bytes: int, pairs: int, parallelism: int) -> int:
-    """Rows per tile side: as many as fit the memory budget of a task, fewer when
-    the whole job would otherwise not keep all cores busy."""
+def tile_shape(row_bytes: int, pairs: int, largest: int, parallelism: int) -> tuple[int, int]:
+    """(query rows, candidate rows) of a tile.
+
+    Candidates are cut only when they exceed the memory budget of a task, since
+    every further candidate part adds a shortlist per query. The query side is
+    cut finer when the job would otherwise not keep all cores busy.
+    """
     fitting = max(1, min(MAX_TILE_ROWS, TILE_BYTES // max(1, row_bytes)))
-    sharing = int(math.sqrt(pairs / (4 * parallelism))) + 1
-    return min(fitting, max(MIN_TILE_ROWS, sharing))
+    share = pairs // (4 * parallelism * max(1, min(largest, fitting))) + 1
+    return min(fitting, max(MIN_QUERY_ROWS, share)), fitting
 
 
 def build_grid(
     queries: DataFrame, candidates: DataFrame, row_bytes: int, tile_rows: int | None = None
 ) -> Grid:
-    """Assign rows of the same ``category_id`` to tiles.
+    """Assign rows of the same ``category_id`` to tiles. ``tile_rows`` overrides
+    the size of both sides.
 
     Both inputs should be materialised tables, as each is read twice.
     """
@@ -74,12 +78,17 @@ def build_grid(
         "sizes",
     )
     parallelism = spark.sparkContext.defaultParallelism
+    query_rows = candidate_rows = tile_rows
     if tile_rows is None:
-        pairs = sizes.agg(F.sum(F.col("n_queries") * F.col("n_candidates"))).first()[0] or 0
-        tile_rows = tile_rows_for(row_bytes, pairs, parallelism)
-    parts = lambda n: F.ceil(F.col(n) / tile_rows).cast("int")
+        pairs, largest = sizes.agg(
+            F.sum(F.col("n_queries") * F.col("n_candidates")), F.max("n_candidates")
+        ).first()
+        query_rows, candidate_rows = tile_shape(row_bytes, int(pairs or 0), largest or 0, parallelism)
+    parts = lambda n, rows: F.ceil(F.col(n) / rows).cast("int")
     sizes = sizes.select(
-        "category_id", parts("n_queries").alias("query_parts"), parts("n_candidates").alias("candidate_parts")
+        "category_id",
+        parts("n_queries", query_rows).alias("query_parts"),
+        parts("n_candidates", candidate_rows).alias("candidate_parts"),
     )
     tiles, widest = sizes.agg(
         F.sum(F.col("query_parts").cast("long") * F.col("candidate_parts")), F.max("candidate_parts")
@@ -211,7 +220,7 @@ def shortlist_kernel(k: int, weights: Weights, digits: int, null_safe_brand: boo
         rows, columns, scores = (
             np.concatenate(v) if v else np.empty(0, t) for v, t in zip(out.values(), (int, int, float))
         )
-        y = right.take(pa.array(columns, pa.int64()))
+        y = right.select(["id", "group_id", "pos"]).take(pa.array(columns, pa.int64()))
         return pa.table(
             {
                 "idX": left.column("id").take(pa.array(rows, pa.int64())),

@@ -68,8 +68,10 @@ def sum_word_vectors(
     A word table that is measured to fit ``max_broadcast_bytes`` is sent to every
     executor and documents never move. A larger one is joined by word.
     """
-    dim = vector_length(words)
-    if words.count() * dim * 8 <= max_broadcast_bytes:
+    n_words, dim = words.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    if not n_words:
+        raise ValueError("the word table is empty")
+    if n_words * dim * 8 <= max_broadcast_bytes:
         table = words.select("word", "vec").toArrow()
         matrix = table.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dim)
         shared = docs.sparkSession.sparkContext.broadcast((pd.Index(table.column("word").to_pandas()), matrix))
