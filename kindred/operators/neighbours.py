@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.functions.distance import Weights
+from kindred.operators.pruning import can_prune, pruned_shortlists
 from kindred.operators.tiles import build_grid, shortlist_kernel
 from kindred.session import materialise
 
@@ -98,6 +99,7 @@ def top_neighbours(
     position: str = "sku_id",
     null_safe_brand: bool = False,
     tile_rows: int | None = None,
+    prune: bool = True,
 ) -> DataFrame:
     """``idX, idY, score, method``: at most ``k`` neighbours per product.
 
@@ -105,12 +107,14 @@ def top_neighbours(
     the query's own group siblings compete, the query itself does not. Results
     are ordered by score, then id, descending. Similarities are rounded to
     ``digits`` before they are compared, which keeps ties the same on any
-    cluster. A product alone in its category gets one row with null ``idY``.
+    cluster. Categories larger than a tile are searched with bounds unless
+    ``prune`` is off; the result is the same. A product alone in its category gets one row with null ``idY``.
     """
     w = Weights.of(weights)
     features = materialise(comparison_features(products, w, position=position), "features")
     width = row_bytes(features, w)
-    grid = build_grid(features, without_surplus_copies(features, w, k), width, tile_rows)
+    candidates = without_surplus_copies(features, w, k)
+    grid = build_grid(features, candidates, width, tile_rows)
     kind = {f.name: f.dataType for f in features.schema}
     schema = T.StructType(
         [
@@ -121,10 +125,23 @@ def top_neighbours(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    found = grid.apply(shortlist_kernel(k, w, digits, null_safe_brand), schema)
-    if not grid.single_pass:
-        found = _merge(found, k)
+    kernel = shortlist_kernel(k, w, digits, null_safe_brand)
+    columns = ["idX", "idY", "score"]
+    # categories of one candidate part need no merge and no bounds
+    several = grid.large.where("candidate_parts > 1")
+    searched = None
+    if prune and can_prune(w) and not grid.single_pass:
+        searched = pruned_shortlists(
+            features, candidates, several, w, k, digits, null_safe_brand, grid.candidate_rows, schema
+        )
+    if searched is not None:
+        rest = grid.without(several).apply(kernel, schema)
+        found = _merge(searched, k).select(*columns).unionByName(rest.select(*columns))
+    else:
+        found = grid.apply(kernel, schema)
+        if not grid.single_pass:
+            found = _merge(found, k)
     alone = lonely_products(features).select(
         F.col("id").alias("idX"), F.lit(None).cast(kind["id"]).alias("idY"), F.lit(None).cast("double").alias("score")
     )
-    return found.select("idX", "idY", "score").unionByName(alone).withColumn("method", F.lit(method))
+    return found.select(*columns).unionByName(alone).withColumn("method", F.lit(method))

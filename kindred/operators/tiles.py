@@ -10,12 +10,12 @@ that holds a third of all rows is spread over as many tasks as it needs.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,11 +36,21 @@ class Grid:
 
     queries: DataFrame
     candidates: DataFrame
+    large: DataFrame
+    candidate_rows: int
     tasks: int
     single_pass: bool
 
     KEYS = ("category_id", "query_part", "candidate_part")
 
+    def without(self, categories: DataFrame) -> "Grid":
+        """The grid of the other categories."""
+        queries, candidates = (
+            side.join(categories.select("category_id"), "category_id", "left_anti")
+            for side in (self.queries, self.candidates)
+        )
+        return replace(self, queries=queries, candidates=candidates)
+
     def apply(self, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: T.StructType) -> DataFrame:
         left, right = (
             side.repartition(self.tasks, *self.KEYS).groupBy(*self.KEYS)
@@ -61,6 +71,12 @@ def tile_shape(row_bytes: int, pairs: int, largest: int, parallelism: int) -> tu
     return min(fitting, max(MIN_QUERY_ROWS, share)), fitting
 
 
+def task_count(spark: SparkSession, tiles: int) -> int:
+    """Tasks for a number of tiles: a few tiles each once all cores have work."""
+    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(cores, min(tiles, max(4 * cores, tiles // 8), MAX_TASKS))
+
+
 def build_grid(
     queries: DataFrame, candidates: DataFrame, row_bytes: int, tile_rows: int | None = None
 ) -> Grid:
@@ -106,17 +122,19 @@ def build_grid(
             F.explode(F.sequence(F.lit(0), n_other - 1)).alias(f"{other}_part"),
         )
 
-    minimum = max(parallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return Grid(
         placed(queries, "query", "candidate"),
         placed(candidates, "candidate", "query"),
-        tasks=max(minimum, min(int(tiles or 0), MAX_TASKS)),
+        large=large,
+        candidate_rows=candidate_rows,
+        tasks=task_count(spark, int(tiles or 0)),
         single_pass=(widest or 1) <= 1,
     )
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    lists = column.combine_chunks()
+def column_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A list column of equal lengths as a matrix."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
@@ -130,7 +148,7 @@ class TileDistances:
     def __init__(self, queries: pa.Table, candidates: pa.Table, weights: Weights, null_safe_brand: bool):
         self.weights = weights
         self.vectors = [
-            (factor, _matrix(queries.column(name)), _matrix(candidates.column(name)))
+            (factor, column_matrix(queries.column(name)), column_matrix(candidates.column(name)))
             for name, factor in weights.vectors().items()
         ]
         if weights.brand:

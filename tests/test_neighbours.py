@@ -81,7 +81,19 @@ def random_rows(n, seed, copies=0.4):
 )
 def test_equals_brute_force(spark, weights, k, tile_rows):
     rows = random_rows(260, seed=k) + [("solo", "solo", None, "lonely", "x", 1.0, angle(3), angle(3))]
-    assert run(spark, rows, weights, k, tile_rows=tile_rows) == brute_force(rows, weights, k, 6)
+    want = brute_force(rows, weights, k, 6)
+    assert run(spark, rows, weights, k, tile_rows=tile_rows) == want
+    if tile_rows and k == 4:
+        assert run(spark, rows, weights, k, tile_rows=tile_rows, prune=False) == want
+
+
+@pytest.mark.parametrize("weights", [Weights(), Weights(0.3, 0.2, 0, 0.2, 0.3)])
+def test_bounded_search_alone(spark, monkeypatch, weights):
+    from kindred.operators import pruning
+
+    monkeypatch.setattr(pruning, "WORTHWHILE", 2.0)  # never fall back to all comparisons
+    rows = random_rows(300, seed=11, copies=0.2)
+    assert run(spark, rows, weights, 3, tile_rows=25) == brute_force(rows, weights, 3, 6)
 
 
 def test_copies_of_one_product(spark):
@@ -106,3 +118,30 @@ def test_integer_ids_and_rerun(spark):
         sorted(map(tuple, top_neighbours(df, k=5, digits=6, tile_rows=t).na.drop().collect())) for t in (40, None)
     )
     assert first == again and isinstance(first[0][0], int)
+
+
+def test_bound_is_never_above_a_distance(spark):
+    from pyspark.sql import functions as F
+
+    from kindred.operators import pruning
+
+    rng = np.random.default_rng(6)
+    w = Weights(0.5, 0.2, 0, 0.2, 0.1)
+    rows = [r for r in random_rows(80, seed=9, copies=0.0) if r[3] == "hot"]
+    u = np.array([np.r_[np.sqrt(0.25) * np.array(r[6]), np.sqrt(0.2) * np.array(r[7])] for r in rows])
+    pivots = u[rng.integers(0, len(u), 4)]
+    reach = np.linalg.norm(u[:, None] - pivots, axis=2)
+    cell = reach.argmin(axis=1)
+    schema = "id string, category_id string, brand string, price_hint double, cell int, reach double, norm double, reaches array<double>, candidate_part long"
+    data = [
+        (r[0], "hot", r[4], r[5], int(cell[i]), float(reach[i, cell[i]]), float(u[i] @ u[i]), reach[i].tolist(), int(cell[i]))
+        for i, r in enumerate(rows)
+    ]
+    df = spark.createDataFrame(data, schema).withColumn("shell", F.lit(0))
+    facts = pruning._part_facts(df, w)
+    bounds = df.drop("candidate_part").join(facts, "category_id").select("id", "candidate_cell", pruning.least_distance(w))
+    bounds = {(a, b): c for a, b, c in bounds.collect()}
+    everything = brute_force([(*r[:2], None, *r[3:]) for r in rows], w, len(rows), 12)
+    cells = {r[0]: int(cell[i]) for i, r in enumerate(rows)}
+    assert all(bounds[x, cells[y]] <= 1 - s + 1e-7 for x, y, s in everything)
+    assert max(bounds.values()) > 0.05
