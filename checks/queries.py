@@ -410,6 +410,7 @@ def _pair_distance(spark, sf, weights: Weights, expression, *columns: str) -> Da
     words, images = fx.words(spark, sf), fx.images(spark, sf)
     products = select_products(normalised(spark, sf), model, words, images)
     featured = with_features(products, model, words) if set(columns) & {"title_vec", "image_vec", "product_vec"} else products
+    featured = materialise(featured.select("sku_id", *columns), "featured")
     end = lambda name: featured.select(F.col("sku_id").alias(f"sku{name}"), F.struct(*columns).alias(name))
     pairs = fx.coview(spark, sf).select("skuX", "skuY").join(end("X"), "skuX").join(end("Y"), "skuY")
     value = expression(lambda c: F.col(f"Y.{c}"), lambda c: F.col(f"X.{c}"))

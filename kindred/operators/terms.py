@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.text import product_words, title_tokens
 from kindred.functions.wordlists import ENGLISH_STOP_WORDS
 
+BROADCAST_WORDS = 1_000_000
+
 
 def with_title_tokens(
     df: DataFrame, stop_words: Iterable[str] = ENGLISH_STOP_WORDS, title: str = "title"
@@ -30,9 +35,37 @@ def vocabulary_tokens(docs: DataFrame, words: DataFrame, key: str = "id") -> Dat
     )
 
 
-def keep_vocabulary_tokens(df: DataFrame, words: DataFrame, key: str = "id") -> DataFrame:
-    """Restrict ``tokens`` to the vocabulary and drop rows left without any."""
-    return df.drop("tokens").join(vocabulary_tokens(df, words, key), key)
+def _filtering_batches(shared, min_tokens: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            lists = batch.column("tokens")
+            words = lists.flatten()
+            known = index.get_indexer(words.to_pandas()) >= 0
+            sizes = np.asarray(lists.value_lengths().fill_null(0))
+            ends = np.r_[0, np.cumsum(known)][np.r_[0, np.cumsum(sizes)]].astype(np.int32)
+            tokens = pa.ListArray.from_arrays(ends, words.filter(pa.array(known)))
+            at = batch.schema.get_field_index("tokens")
+            batch = batch.set_column(at, "tokens", tokens.cast(batch.schema.field(at).type))
+            yield batch.filter(pa.array(np.diff(ends) >= min_tokens))
+
+    return run
+
+
+def keep_vocabulary_tokens(
+    df: DataFrame, words: DataFrame, key: str = "id", max_broadcast_words: int = BROADCAST_WORDS
+) -> DataFrame:
+    """Restrict ``tokens`` to the vocabulary and drop rows left without any.
+
+    A vocabulary counted to be at most ``max_broadcast_words`` goes to every
+    executor and rows stay where they are; a larger one is joined by word.
+    """
+    if words.count() > max_broadcast_words:
+        kept = vocabulary_tokens(df, words, key)
+        return df.drop("tokens").join(kept, key).select(*df.columns)
+    index = pd.Index(words.select("word").toArrow().column("word").to_pandas())
+    shared = df.sparkSession.sparkContext.broadcast(index)
+    return df.mapInArrow(_filtering_batches(shared, min_tokens=1), df.schema)
 
 
 def token_counts(corpus: DataFrame, min_count: int = 1) -> DataFrame:

@@ -22,8 +22,14 @@ def docs(spark, words):
     return terms.keep_vocabulary_tokens(raw, words)
 
 
-def test_vocabulary_filter_keeps_order_and_repeats(docs):
-    assert dict(docs.select("id", "tokens").collect()) == {"1": ["sofa", "red", "sofa"], "2": ["bed", "red"], "3": ["red"]}
+@pytest.mark.parametrize("bound", [0, 100])
+def test_vocabulary_filter_keeps_order_and_repeats(spark, words, bound):
+    rows = DOCS + [("5", []), ("6", None), ("7", ["x", "bed", "x", "red", "y"])]
+    raw = spark.createDataFrame(rows, "id string, tokens array<string>").repartition(2)
+    got = terms.keep_vocabulary_tokens(raw, words, max_broadcast_words=bound)
+    assert dict(got.select("id", "tokens").collect()) == {
+        "1": ["sofa", "red", "sofa"], "2": ["bed", "red"], "3": ["red"], "7": ["bed", "red"]
+    }
 
 
 @pytest.mark.parametrize("bound", [0, 1 << 20])
