@@ -645,7 +645,7 @@ def topk_lsa(spark, sf):
 
 @query()
 def word2vec_train(spark, sf):
-    return elements(embeddings.train_word_vectors(_corpus(spark, sf), dim=16, epochs=2), "word", "vec")
+    return elements(embeddings.train_word_vectors(materialise(_corpus(spark, sf)), dim=16, epochs=2), "word", "vec")
 
 
 @query()
