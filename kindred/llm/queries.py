@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import mixing, quality_rules, url_filters
+from kindred.llm import minhash_dedup, mixing, quality_rules, url_filters
 from kindred.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,5 +25,9 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "position")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_mixing)}
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.dedup(table(spark, sf_dir, "documents"), minhash_dedup.Join(shingle=2))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_mixing, op6_minhash_dedup)}
 ORACLES: dict[str, str] = {}
