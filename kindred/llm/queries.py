@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import minhash_dedup, mixing, quality_rules, url_filters
+from kindred.llm import minhash_dedup, mixing, quality_rules, suffix_dedup, url_filters
 from kindred.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,5 +29,9 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.dedup(table(spark, sf_dir, "documents"), minhash_dedup.Join(shingle=2))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_mixing, op6_minhash_dedup)}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_mixing, op6_minhash_dedup, op9_suffix_dedup)}
 ORACLES: dict[str, str] = {}
