@@ -43,7 +43,7 @@ class Repeats:
     length: int = 200
     kmer: int = 32
     range_rows: int = 50_000
-    hot_rows: int = 20_000
+    hot_rows: int = 100_000
     run_bytes: int = 32 << 20
     segment: int = 1 << 20
 
@@ -235,9 +235,19 @@ def _runs(texts: DataFrame, splits: np.ndarray, spec: Repeats) -> DataFrame:
                 if size > spec.run_bytes:
                     yield from flush(held)
                     held, size = [], 0
+            yield from hot_windows(part, data, offsets, ids)
         yield from flush(held)
 
-    return texts.select("doc_id", "text", "places").mapInArrow(run, ", ".join(f"{n} {'long' if n == 'range' else 'binary'}" for n in names))
+    def hot_windows(part, data, offsets, ids) -> Iterator[pa.RecordBatch]:
+        """Windows of frequent k-mers, not sorted: hashes, texts and begins under range -1."""
+        for d, _, first, last in _wanted(part, data, offsets, spec, "hot"):
+            begin = int(offsets[d])
+            starts = np.concatenate([np.arange(f, e + 1) for f, e in zip(first, last)]) - begin
+            hashes = _hashes(_prefix_hashes(data[begin : offsets[d + 1]]), starts, spec.length)
+            row = {n: b"" for n in names} | {"shared": hashes.tobytes(), "doc_ids": np.full(len(starts), ids[d]).tobytes(), "places": starts.tobytes()}
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), *(pa.array([row[n]], pa.binary()) for n in names[1:])], names)
+
+    return texts.select("doc_id", "text", "places", "hot").mapInArrow(run, ", ".join(f"{n} {'long' if n == 'range' else 'binary'}" for n in names))
 
 
 def _wanted(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, spec: Repeats, column: str):
@@ -291,17 +301,20 @@ def _repeated(rows: list[tuple[int, int]], runs, lefts, info, spec: Repeats):
     table = np.frombuffer(
         b"".join(lefts[r][i].rjust(reach, b"\0") + runs[r][0][i].ljust(spec.length, b"\0") for r, i in rows), np.uint8
     ).reshape(len(rows), total)
-    power, inverse = _tables(1 << 16)
-    sums = np.zeros((len(rows), total + 1), np.uint64)
-    np.cumsum((table.astype(np.uint64) + np.uint64(1)) * power[:total], 1, out=sums[:, 1:])
     low = np.array([info[r][2][i] for r, i in rows])
     high = np.array([len(lefts[r][i]) for r, i in rows])
     found = np.zeros((len(rows), reach + 3), bool)
+    byte = lambda column: table[:, column].astype(np.uint64) + np.uint64(1)
+    power = _tables(1 << 16)[0]
+    rolled = np.zeros(len(rows), np.uint64)
+    for i in range(spec.length):
+        rolled += byte(reach + i) * power[i]
     for a in range(reach + 1):
+        if a:  # one byte to the left
+            rolled = byte(reach - a) + power[1] * (rolled - byte(reach - a + spec.length) * power[spec.length - 1])
         own = np.flatnonzero((low <= a) & (a <= high))
         if len(own) > 1:
-            h = (sums[own, reach - a + spec.length] - sums[own, reach - a]) * inverse[reach - a]
-            _, which, count = np.unique(h, return_inverse=True, return_counts=True)
+            _, which, count = np.unique(mix64(rolled[own]), return_inverse=True, return_counts=True)
             found[own, a + 1] = count[which] > 1
     row, nearest = np.nonzero(found[:, 1:] & ~found[:, :-1])
     _, farthest = np.nonzero(found[:, :-1] & ~found[:, 1:])
@@ -310,25 +323,15 @@ def _repeated(rows: list[tuple[int, int]], runs, lefts, info, spec: Repeats):
     return ids, place - (farthest - 1), place - nearest + spec.length
 
 
-def _hot_spans(texts: DataFrame, spec: Repeats) -> DataFrame:
+def _hot_spans(runs: DataFrame, spec: Repeats) -> DataFrame:
     """The same for k-mers too frequent for one range: windows are grouped by hash over all tasks."""
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            data, offsets = text_bytes(part.column("text"))
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            sums = None
-            for d, _, first, last in _wanted(part, data, offsets, spec, "hot"):
-                begin = int(offsets[d])
-                sums = _prefix_hashes(data[begin : offsets[d + 1]])
-                starts = np.concatenate([np.arange(f, e + 1) for f, e in zip(first, last)] or [np.zeros(0, np.int64)]) - begin
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_hashes(sums, starts, spec.length).view(np.int64)), pa.array(np.full(len(starts), ids[d])), pa.array(starts)],
-                    ["window", "doc_id", "begin"],
-                )
-
-    rows = texts.where("size(hot) > 0").select("doc_id", "text", "hot").mapInArrow(windows, "window long, doc_id long, begin long")
-    rows = materialise(rows, "windows")
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in zip(*(batch.column(c).to_pylist() for c in ("shared", "doc_ids", "places"))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in part], ["window", "doc_id", "begin"])
+
+    rows = runs.where("range < 0").mapInArrow(unpack, "window long, doc_id long, begin long")
     often = rows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
     return rows.join(often, "window").select("doc_id", "begin", (F.col("begin") + spec.length).alias("end"))
 
@@ -354,10 +357,12 @@ def repeated_spans(docs: DataFrame, spec: Repeats) -> DataFrame:
         F.collect_list(F.when(~hot, F.col("places"))).alias("places"), F.collect_list(F.when(hot, F.col("places"))).alias("hot")
     )
     texts = docs.join(wanted.hint("shuffle_hash"), "doc_id")
-    spans = by_key(_runs(texts, np.array(cuts or [], np.int64), spec), "range", lambda c: _merged_spans(c, spec), "doc_id long, begin long, end long")
+    runs = _runs(texts, np.array(cuts or [], np.int64), spec)
+    runs = materialise(runs, "runs") if any_hot else runs
+    spans = by_key(runs.where("range >= 0"), "range", lambda c: _merged_spans(c, spec), "doc_id long, begin long, end long")
     spans = spans.union(whole)
     if any_hot:
-        spans = spans.union(_hot_spans(texts, spec))
+        spans = spans.union(_hot_spans(runs, spec))
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
