@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kindred.llm import minhash_dedup, mixing, quality_rules, suffix_dedup, url_filters
+from kindred.llm import language_id, minhash_dedup, mixing, nbest_pieces, quality_rules, suffix_dedup, url_filters
 from kindred.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,9 +30,21 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.dedup(table(spark, sf_dir, "documents"), minhash_dedup.Join(shingle=2))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_mixing, op6_minhash_dedup, op9_suffix_dedup)}
+def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = nbest_pieces.encode(table(spark, sf_dir, "documents"), best=4)
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), "scores", F.xxhash64("ids").alias("ids_hash"),
+        F.xxhash64("changes").alias("changes_hash"), "decoded",
+    )
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_mixing, op6_minhash_dedup, op8_language_id, op9_suffix_dedup, op10_nbest_pieces)}
 ORACLES: dict[str, str] = {}
