@@ -30,8 +30,8 @@ Path = tuple[float, tuple[int, ...]]
 class Pieces:
     """Pieces, scores and bytes of a model file.
 
-    A character that is no piece costs 10 less than the worst single character
-    and becomes its bytes. A literal U+2581 is such a character, so that decoding
+    A character that is no piece scores 10 below the worst ordinary piece and
+    becomes its bytes. A literal U+2581 is such a character, so that decoding
     gives it back.
     """
 
@@ -53,7 +53,8 @@ class Pieces:
                 if " " in piece.replace(BLANK, " ").lstrip(" "):
                     raise ValueError(f"piece {piece!r} crosses a word boundary")
         self.width = max(map(len, self.scores))
-        self.unknown = min(s for p, (s, _) in self.scores.items() if len(p) == 1) - 10
+        # runs of blanks and the like have a score of -1e9 that only forbids them
+        self.unknown = min(s for s, _ in self.scores.values() if s > -1e8) - 10
         self.best, self.remember, self.longest = best, remember, longest
         self.known: dict[str, list[Path]] = {}
         # a line break or a literal U+2581 is part of no longer piece: it stands alone
