@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import language_id, minhash_dedup, mixing, nbest_pieces, quality_rules, site_quality, suffix_dedup, url_filters
+from kindred.llm import language_id, minhash_dedup, mixing, nbest_pieces, quality_rules, site_quality, suffix_dedup, url_filters, vector_dedup
 from kindred.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.dedup(table(spark, sf_dir, "documents"), minhash_dedup.Join(shingle=2))
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_mixing, op5_site_quality, op6_minhash_dedup, op8_language_id, op9_suffix_dedup, op10_nbest_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_mixing, op5_site_quality, op6_minhash_dedup, op7_vector_dedup, op8_language_id, op9_suffix_dedup, op10_nbest_pieces)}
 ORACLES: dict[str, str] = {}
