@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import language_id, minhash_dedup, mixing, nbest_pieces, quality_rules, site_quality, suffix_dedup, url_filters, vector_dedup
+from kindred.llm import html_blocks, language_id, minhash_dedup, mixing, nbest_pieces, quality_rules, site_quality, suffix_dedup, url_filters, vector_dedup
 from kindred.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "position")
 
 
+def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,5 +58,5 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_mixing, op5_site_quality, op6_minhash_dedup, op7_vector_dedup, op8_language_id, op9_suffix_dedup, op10_nbest_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_mixing, op4_html_blocks, op5_site_quality, op6_minhash_dedup, op7_vector_dedup, op8_language_id, op9_suffix_dedup, op10_nbest_pieces)}
 ORACLES: dict[str, str] = {}
