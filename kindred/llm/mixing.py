@@ -170,17 +170,15 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """
     tie = F.xxhash64("doc_id", "text")
     chosen = plan(docs, mix).where("taken > 0").dropDuplicates(["doc_id", "tie"])
-    chosen = chosen.select("doc_id", F.col("tie").alias("_tie"), F.explode(F.arrays_zip("words", "times")).alias("_pass"), F.col("size").alias("_size"))
-    chosen = chosen.where("_pass.words > 0")
-    joined = docs.withColumn("_tie", tie).alias("d").join(
-        chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._tie") == F.col("c._tie"))
+    chosen = chosen.select("doc_id", F.col("tie").alias("__tie"), F.explode(F.arrays_zip("words", "times")).alias("__pass"), F.col("size").alias("__size"))
+    chosen = chosen.where("__pass.words > 0")
+    joined = docs.withColumn("__tie", tie).alias("d").join(
+        chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.__tie") == F.col("c.__tie"))
     )
-    first = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), F.col("_pass.words").cast("string"), F.lit("}"))
-    cut = F.when(F.col("_pass.words") >= F.col("_size"), F.col("d.text")).otherwise(F.regexp_substr(F.col("d.text"), first))
-    columns = [F.col(f"d.`{c}`") if c not in ("text", "n_chars") else F.col(c) for c in docs.columns]
-    out = joined.withColumn("_text", cut).select("d.*", "_text", "_pass", F.col("c.doc_id").alias("_id"))
-    out = out.withColumn("text", F.col("_text"))
+    words = F.regexp_extract_all(F.col("d.text"), F.lit(r"[\x20\x09-\x0D]*" + WORD_PATTERN), F.lit(0))
+    cut = F.when(F.col("__pass.words") >= F.col("__size"), F.col("d.text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("__pass.words").cast("int")), ""))
+    out = joined.select("d.*", cut.alias("__text"), "__pass").withColumn("text", F.col("__text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("_text").cast(docs.schema["n_chars"].dataType))
-    time = F.col("_pass.times")
+        out = out.withColumn("n_chars", F.char_length("__text").cast(docs.schema["n_chars"].dataType))
+    time = F.col("__pass.times")
     return out.repartitionByRange(time, F.col("doc_id")).sortWithinPartitions(time, "doc_id").select(*docs.columns)

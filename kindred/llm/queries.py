@@ -59,4 +59,29 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_mixing, op4_html_blocks, op5_site_quality, op6_minhash_dedup, op7_vector_dedup, op8_language_id, op9_suffix_dedup, op10_nbest_pieces)}
-ORACLES: dict[str, str] = {}
+#: The general rules of op2 concern files and pages that the default would let pass; their verdict is in the SQL as well.
+ORACLES: dict[str, str] = {
+    "op2_url_filters": r"""
+WITH parts AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages
+), ruled AS (
+  SELECT page_id, host, path,
+         CASE WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/en/1%' THEN 'example.org/en/1'
+              WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/es/%' THEN 'example.org/es/'
+              WHEN ('.' || host) LIKE '%.com' AND path LIKE '/fr/%' THEN 'com/fr/'
+              WHEN ('.' || host) LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/'
+              WHEN ('.' || host) LIKE '%.org' AND path LIKE '/%' THEN 'org/' END AS rule
+  FROM parts
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+            WHEN rule IS NOT NULL THEN 'block'
+            WHEN regexp_matches(path, '[.](exe|zip|gz|iso|mp3|mp4|jpg|jpeg|png|gif|css|js)$') OR regexp_matches(path, '/(login|signin|logout|cart|checkout)$')
+              OR (path LIKE '/%' AND (regexp_matches('.' || host, '[.]adserver[.]') OR ('.' || host) LIKE '.ads.%')) THEN 'block'
+            ELSE 'allow' END AS verdict
+FROM ruled
+""",
+}

@@ -75,19 +75,19 @@ class Automaton:
             bits.append((np.zeros(256, bool), np.zeros(256, bool)))
             data, i = glob.encode(), 0
             while i < len(data):
-                c = data[i : i + 1]
-                if c == b"*":
+                symbol = data[i : i + 1]
+                if symbol == b"*":
                     wide = data[i : i + 2] == b"**"
-                    bits[-1][1][:] = True
-                    bits[-1][1][ord("/")] = wide
+                    loops = bits[-1][1]
+                    loops[:] = [True if wide or c != ord("/") else loops[c] for c in range(256)]
                     i += 1 + wide
                     continue
                 step, stay = np.zeros(256, bool), np.zeros(256, bool)
-                if c == b"?":
+                if symbol == b"?":
                     step |= ~CONTINUATION
                     stay |= CONTINUATION
                 else:
-                    i += c == b"\\"
+                    i += symbol == b"\\"
                     step[data[i]] = True
                 bits.append((step, stay))
                 i += 1
