@@ -34,8 +34,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text, with the scores of the best segmentations."""
-    return nbest_pieces.encode(docs)
+    """Piece ids of every text, with the scores of its best segmentations."""
+    return nbest_pieces.encode(docs, alternatives=False)
 
 
 STAGES = [

@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from kindred.llm.common import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 Path = tuple[float, tuple[int, ...]]
+#: Ids and score of the best segmentation, what the second costs, and whether the ids decode to the word.
+Word = tuple[tuple[int, ...], float, float, bool]
 
 
 class Pieces:
@@ -56,32 +59,34 @@ class Pieces:
         # runs of blanks and the like have a score of -1e9 that only forbids them
         self.unknown = min(s for s, _ in self.scores.values() if s > -1e8) - 10
         self.best, self.remember, self.longest = best, remember, longest
-        self.known: dict[str, list[Path]] = {}
+        self.known: dict[str, Word] = {}
+        self.searched: dict[str, list[Path]] = {}
         # a line break or a literal U+2581 is part of no longer piece: it stands alone
         alone = "".join(c for c in "\n\t\r" + BLANK if not any(c in p for p in self.scores if len(p) > 1))
         self.split = re.compile(f"[{alone}]| +[^ {alone}]*|[^ {alone}]+" if alone else " +[^ ]*|[^ ]+")
 
-    def edges(self, word: str, end: int) -> Iterator[tuple[int, float, tuple[int, ...]]]:
-        """Begin, score and ids of every piece that ends at ``end``."""
-        for begin in range(max(0, end - self.width), end):
-            found = self.scores.get(word[begin:end])
-            if found and word[begin:end] != BLANK:
-                yield begin, found[0], (found[1],)
-        if word[end - 1] not in self.scores:
-            yield end - 1, self.unknown, tuple(self.byte_id[b] for b in word[end - 1].encode("utf-8", "surrogatepass"))
-
     def search(self, word: str) -> list[Path]:
         """The best segmentations of one word, at most ``best``, best first."""
-        n = len(word)
-        ahead = [0.0] + [0.0] * n
-        into = [[*self.edges(word, end)] for end in range(1, n + 1)]
+        n, get, push = len(word), self.scores.get, heapq.heappush
+        ahead, into = [0.0], []
         for end in range(1, n + 1):
-            ahead[end] = max(ahead[b] + s for b, s, _ in into[end - 1])
+            own, top = [], -np.inf
+            for begin in range(max(0, end - self.width), end):
+                found = get(word[begin:end])
+                if found:
+                    own.append((begin, found[0], (found[1],)))
+                    if ahead[begin] + found[0] > top:
+                        top = ahead[begin] + found[0]
+            if word[end - 1] not in self.scores:
+                own.append((end - 1, self.unknown, tuple(self.byte_id[b] for b in word[end - 1].encode("utf-8", "surrogatepass"))))
+                top = max(top, ahead[-1] + self.unknown)
+            into.append(own)
+            ahead.append(top)
         # (estimate, place, order of creation, score so far, ids so far as a chain)
         queue = [(-ahead[n], n, 0, 0.0, None)]
         made, found = 1, []
         while queue and len(found) < self.best:
-            estimate, place, _, score, chain = heapq.heappop(queue)
+            _, place, _, score, chain = heapq.heappop(queue)
             if not place:
                 ids: list[int] = []
                 while chain:
@@ -90,49 +95,108 @@ class Pieces:
                 found.append((score, tuple(ids)))
                 continue
             for begin, s, ids in into[place - 1]:
-                heapq.heappush(queue, (-(ahead[begin] + score + s), begin, made, score + s, (ids, chain)))
+                push(queue, (-(ahead[begin] + score + s), begin, made, score + s, (ids, chain)))
                 made += 1
         return found
 
-    def word(self, word: str) -> list[Path]:
-        found = self.known.get(word)
-        if found is None:
-            found = self.search(word)
-            if len(word) <= self.longest:
+    def word(self, word: str) -> Word:
+        """The best segmentation of a word and the cost of the second, from memory if the word is short and was seen.
+
+        Every other path has a piece that is not on the best one. So the second
+        best is the best path through such a piece: what is best before it, the
+        piece, and what is best after it.
+        """
+        known = self.known.get(word)
+        if known is None:
+            n, get, width, lowest = len(word), self.scores.get, self.width, float("-inf")
+            ahead, back, edges = [0.0], [None], []
+            for end in range(1, n + 1):
+                top, at = lowest, None
+                for begin in range(end - width if end > width else 0, end):
+                    found = get(word[begin:end])
+                    if found:
+                        s = found[0]
+                        edges.append((begin, end, s))
+                        s += ahead[begin]
+                        if s > top:
+                            top, at = s, (begin, (found[1],))
+                c = word[end - 1]
+                if c not in self.scores:
+                    edges.append((end - 1, end, self.unknown))
+                    if ahead[-1] + self.unknown > top:
+                        top, at = ahead[-1] + self.unknown, (end - 1, tuple(self.byte_id[b] for b in c.encode("utf-8", "surrogatepass")))
+                ahead.append(top)
+                back.append(at)
+            pieces, taken, end = [], set(), n
+            while end:
+                begin, ids = back[end]
+                pieces.append(ids)
+                taken.add((begin, end))
+                end = begin
+            ids = tuple(chain.from_iterable(reversed(pieces)))
+            behind, second = [lowest] * n + [0.0], lowest
+            for begin, end, s in reversed(edges):
+                s += behind[end]
+                if s > behind[begin]:
+                    behind[begin] = s
+                if ahead[begin] + s > second and (begin, end) not in taken:
+                    second = ahead[begin] + s
+            known = (ids, ahead[n], ahead[n] - second, self.join(ids) == word)
+            if n <= self.longest:
                 if len(self.known) >= self.remember:
                     self.known.clear()
-                self.known[word] = found
+                self.known[word] = known
+        return known
+
+    def others(self, word: str) -> list[Path]:
+        """The best segmentations of a word but for the one that ``word`` gives."""
+        found = self.searched.get(word)
+        if found is None:
+            best = self.word(word)[0]
+            found = [p for p in self.search(word) if p[1] != best][: self.best - 1]
+            if len(word) <= self.longest:
+                if len(self.searched) >= self.remember // 4:
+                    self.searched.clear()
+                self.searched[word] = found
         return found
 
     def words(self, text: str) -> list[str]:
         return self.split.findall(" " + text) if text else []
 
-    def nbest(self, text: str) -> tuple[list[list[Path]], list[tuple[float, tuple[tuple[int, int], ...]]]]:
-        """Choices per word, and the best combinations: score and the words ``(place, choice)`` that differ from the best."""
-        choices = [self.word(w) for w in self.words(text)]
+    def nbest(self, text: str) -> tuple[list[Word], list[tuple[float, tuple[tuple[int, int], ...]]]]:
+        """Words, and the best combinations: score and the words ``(place, choice)`` that differ from the best."""
+        get, word = self.known.get, self.word
+        words = self.words(text)
+        choices = [get(w) or word(w) for w in words]
         if not choices:
             return [], []
-        total = sum(c[0][0] for c in choices)
+        _, scores, more, _ = zip(*choices)
+        total = sum(scores)
         # any of the best combinations changes only words whose first change is among the cheapest
-        places = heapq.nsmallest(self.best - 1, ((c[0][0] - c[1][0], i) for i, c in enumerate(choices) if len(c) > 1)) if self.best > 1 else []
-        order = [i for _, i in places]
+        more = np.array(more)
+        cheap = np.flatnonzero(more <= np.partition(more, min(self.best, len(more)) - 1)[min(self.best, len(more)) - 1])
+        order = cheap[np.argsort(more[cheap], kind="stable")][: self.best - 1]
+        order = order[np.isfinite(more[order])].tolist()
+        paths = [[choices[i][:2][::-1], *self.others(words[i])] for i in order]
         queue, seen, out = [(0.0, ())], {()}, []
         while queue and len(out) < self.best:
             cost, changed = heapq.heappop(queue)
             out.append((total - cost, tuple((order[k], c) for k, c in changed)))
             for k in range(len(order)):
                 now = dict(changed).get(k, 0)
-                paths = choices[order[k]]
-                if now + 1 < len(paths):
+                if now + 1 < len(paths[k]):
                     new = tuple(sorted({**dict(changed), k: now + 1}.items()))
                     if new not in seen:
                         seen.add(new)
-                        heapq.heappush(queue, (cost + paths[now][0] - paths[now + 1][0], new))
+                        heapq.heappush(queue, (cost + paths[k][now][0] - paths[k][now + 1][0], new))
         return choices, out
 
-    def decode(self, ids) -> str:
+    def join(self, ids) -> str:
         table = self.bytes
-        return b"".join([table[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
+        return b"".join([table[i] for i in ids]).decode("utf-8", "surrogatepass")
+
+    def decode(self, ids) -> str:
+        return self.join(ids)[1:]
 
 
 _loaded: dict[tuple[str, int], Pieces] = {}
@@ -173,15 +237,18 @@ def encode(docs: DataFrame, model: str = MODEL, best: int = 4, alternatives: boo
                         rows[k].append(v)
                     continue
                 choices, found = known.nbest(text)
-                ids = [i for c in choices for i in c[0][1]]
-                rows["ids"].append(np.array(ids, np.int32))
+                rows["ids"].append(np.array([*chain.from_iterable([c[0] for c in choices])], np.int32))
                 rows["scores"].append([s for s, _ in found])
-                rows["decoded"].append(known.decode(ids) == text)
-                begins = np.cumsum([0, *(len(c[0][1]) for c in choices)]).tolist() if alternatives else []
-                rows["changes"].append(
-                    [[{"begin": begins[w], "size": len(choices[w][0][1]), "ids": list(choices[w][c][1])} for w, c in changed] for _, changed in found]
-                    if alternatives else None
-                )
+                # words follow each other without gaps, and each decodes to itself
+                rows["decoded"].append(all([c[3] for c in choices]) and "".join(known.words(text)) == (text and " " + text))
+                if alternatives:
+                    words = known.words(text)
+                    begins = np.cumsum([0, *[len(c[0]) for c in choices]])
+                    rows["changes"].append(
+                        [[{"begin": int(begins[w]), "size": len(choices[w][0]), "ids": known.others(words[w])[c - 1][1]} for w, c in changed] for _, changed in found]
+                    )
+                else:
+                    rows["changes"].append(None)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(rows[k], t) for k, t in kinds.items())], ["doc_id", *kinds])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
