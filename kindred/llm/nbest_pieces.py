@@ -38,7 +38,7 @@ class Pieces:
     gives it back.
     """
 
-    def __init__(self, model: str, best: int, remember: int = 200_000, longest: int = 64):
+    def __init__(self, model: str, best: int, remember: int = 500_000, longest: int = 64):
         import sentencepiece
 
         read = sentencepiece.SentencePieceProcessor(model_file=model)
