@@ -339,7 +339,8 @@ def image_unit_vec(spark, sf):
 
 
 TOP_PHRASES = "SELECT products AS value, count(*) AS \"count\" FROM catalog WHERE products IS NOT NULL GROUP BY products ORDER BY 2 DESC, 1 LIMIT 80"
-EXTRA_PHRASES = ["playstation", "xbox", "iphone", "xiaomi", "console", "cat", "dog"]
+#: Own examples: words of the part names, a mix with an unknown one, and unknown words.
+EXTRA_PHRASES = ["red steel", "blue", "steel and lamp", "lantern", "oak chair"]
 
 
 @query(TOP_PHRASES)

@@ -125,7 +125,8 @@ def top_neighbours(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    kernel = shortlist_kernel(k, w, digits, null_safe_brand)
+    # where one tile sees the whole category, its cut is the result
+    final = shortlist_kernel(k, w, digits, null_safe_brand, final=True)
     columns = ["idX", "idY", "score"]
     # categories of one candidate part need no merge and no bounds
     several = grid.large.where("candidate_parts > 1")
@@ -135,12 +136,13 @@ def top_neighbours(
             features, candidates, several, w, k, digits, null_safe_brand, grid.candidate_rows, schema
         )
     if searched is not None:
-        rest = grid.without(several).apply(kernel, schema)
+        rest = grid.without(several).apply(final, schema)
         found = _merge(searched, k).select(*columns).unionByName(rest.select(*columns))
     else:
-        found = grid.apply(kernel, schema)
-        if not grid.single_pass:
-            found = _merge(found, k)
+        if grid.single_pass:
+            found = grid.apply(final, schema)
+        else:
+            found = _merge(grid.apply(shortlist_kernel(k, w, digits, null_safe_brand), schema), k)
     alone = lonely_products(features).select(
         F.col("id").alias("idX"), F.lit(None).cast(kind["id"]).alias("idY"), F.lit(None).cast("double").alias("score")
     )

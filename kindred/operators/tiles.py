@@ -191,7 +191,7 @@ def _same_id(query_ids: np.ndarray, candidate_ids: np.ndarray) -> tuple[np.ndarr
     return both["row"].to_numpy(), both["column"].to_numpy()
 
 
-def shortlist_kernel(k: int, weights: Weights, digits: int, null_safe_brand: bool):
+def shortlist_kernel(k: int, weights: Weights, digits: int, null_safe_brand: bool, final: bool = False):
     """Best ``k`` units per query of a tile. A unit is a group (its best member
     by similarity, then position) or an ungrouped product; units are ordered by
     similarity, then id, both descending. The cut is exact: whatever is dropped
@@ -208,6 +208,7 @@ def shortlist_kernel(k: int, weights: Weights, digits: int, null_safe_brand: boo
             order = np.argsort(groups, kind="stable")
             right = right.take(pa.array(order))
             starts = np.flatnonzero(np.r_[True, np.diff(groups[order]) > 0])
+            named = ~alone[order]
             ids, places = _values(right.column("id")), _values(right.column("pos"))
             by_id = np.argsort(ids, kind="stable")
             id_rank = np.empty(n, np.int64)
@@ -222,15 +223,21 @@ def shortlist_kernel(k: int, weights: Weights, digits: int, null_safe_brand: boo
                 score = np.rint((1 - distances.rows(start, stop)) * unit).astype(np.int64)
                 low, high = np.searchsorted(self_rows, (start, stop))
                 score[self_rows[low:high] - start, self_columns[low:high]] = NEVER
-                if len(starts) < n:
+                if grouped := len(starts) < n:
                     best = np.maximum.reduceat(score * n + (n - 1 - place_rank), starts, axis=1)
                     score = best // n
                     ranked = score * n + id_rank[by_place[n - 1 - best % n]]
                 else:
                     ranked = score * n + id_rank
+                valid = score > NEVER
                 if ranked.shape[1] > k:
-                    ranked = -np.partition(-ranked, k - 1, axis=1)[:, :k]
-                row, at = np.nonzero(ranked // n > NEVER)
+                    # a group's representative may be in another tile and have any id: at equal
+                    # similarity it comes before nothing for certain, and is never cut for its id
+                    open_ = (named[starts] if grouped else named) & (not final)
+                    sure = np.where(open_, score * n, ranked)
+                    least = -np.partition(-sure, k - 1, axis=1)[:, k - 1 : k]
+                    valid &= np.where(open_, score * n + n - 1, ranked) >= least
+                row, at = np.nonzero(valid)
                 picked = ranked[row, at]
                 out["idX"].append(row + start)
                 out["column"].append(by_id[picked % n])
