@@ -6,7 +6,8 @@ path still needs when it is built from the end, so a backward A* search yields
 segmentations in the order of their scores. No piece crosses from one word to
 the next, so every word boundary lies on all paths: the search runs inside
 words, is remembered for words seen before, and the segmentations of a text
-combine those of its words.
+combine those of its words. The forward pass takes the unseen words of many texts
+together, one numpy step per position and piece length.
 """
 
 from __future__ import annotations
@@ -63,8 +64,107 @@ class Pieces:
         self.searched: dict[str, list[Path]] = {}
         # a line break or a literal U+2581 is part of no longer piece: it stands alone
         alone = "".join(c for c in "\n\t\r" + BLANK if not any(c in p for p in self.scores if len(p) > 1))
+        self._grow()
         self.split = re.compile(f"[{alone}]| +[^ {alone}]*|[^ {alone}]+" if alone else " +[^ ]*|[^ ]+")
 
+    def _grow(self) -> None:
+        """A tree over the pieces' characters: sorted keys ``node << 21 | character``, the next nodes, and the piece that ends in each node."""
+        nodes, edges = {"": 0}, {}
+        for piece in self.scores:
+            for i in range(len(piece)):
+                if piece[: i + 1] not in nodes:
+                    nodes[piece[: i + 1]] = len(nodes)
+                    edges[nodes[piece[:i]] << 21 | ord(piece[i])] = nodes[piece[: i + 1]]
+        self.edges = np.array(sorted(edges), np.int64)
+        self.next = np.array([edges[k] for k in sorted(edges)], np.int64)
+        self.ends = np.array([self.scores.get(p, (-np.inf, -1))[0] for p in nodes])
+        self.piece = np.array([self.scores.get(p, (-np.inf, -1))[1] for p in nodes], np.int32)
+
+    def learn(self, words: set[str], cells: int = 1 << 17) -> None:
+        """Do what ``word`` does for all of these short words at once; ``cells`` characters with padding at a time."""
+        new = sorted((w for w in words if w not in self.known and len(w) <= self.longest), key=len)
+        if len(self.known) + len(new) > self.remember:
+            self.known.clear()
+        while new:
+            size = len(new[-1])
+            # the longest first, so that words of about the same length are padded together
+            take = max(1, cells // size)
+            part, new = new[-take:], new[:-take]
+            if len(part) > 16:
+                self.known.update(zip(part, self._together(part, size)))
+
+    def _together(self, words: list[str], size: int) -> Iterator[Word]:
+        many, span = len(words), min(self.width, size)
+        lengths = np.array([len(w) for w in words])
+        beyond = 0x1FFFFF  # no character
+        chars = np.full((many, size), beyond, np.int64)
+        chars[np.arange(size) < lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        chars = np.ascontiguousarray(chars.T).ravel()
+        # [length - 1, begin, word]: score and id of the piece there
+        scores = np.full((span, size, many), -np.inf)
+        pieces = np.full((span, size, many), -1, np.int32)
+        at, node = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        for w in range(span):
+            keep = at < (size - w) * many
+            at, node = at[keep], node[keep]
+            key = node << 21 | chars[at + w * many]
+            place = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            hit = self.edges[place] == key
+            at, node = at[hit], self.next[place[hit]]
+            scores[w].reshape(-1)[at] = self.ends[node]
+            pieces[w].reshape(-1)[at] = self.piece[node]
+        lone = (pieces[0].reshape(-1) < 0) & (chars != beyond)
+        scores[0].reshape(-1)[lone] = self.unknown
+        ahead = np.full((size + 1, many), -np.inf)
+        ahead[0] = 0
+        back = np.zeros((size + 1, many), np.int64)
+        for end in range(1, size + 1):
+            for w in range(min(span, end), 0, -1):
+                s = ahead[end - w] + scores[w - 1, end - w]
+                better = s > ahead[end]
+                np.copyto(ahead[end], s, where=better)
+                back[end][better] = w
+        every = np.arange(many)
+        ids, count = np.zeros((many, size), np.int32), np.zeros(many, np.int64)
+        taken = np.zeros(scores.shape, bool)
+        end, rows = lengths.copy(), every
+        while len(rows):
+            w = back[end[rows], rows]
+            begin = end[rows] - w
+            ids[rows, count[rows]] = pieces[w - 1, begin, rows]
+            taken[w - 1, begin, rows] = True
+            count[rows] += 1
+            end[rows] = begin
+            rows = rows[begin > 0]
+        behind = np.full((size + 1, many), -np.inf)
+        behind[lengths, every] = 0
+        second = np.full(many, -np.inf)
+        for end in range(size, 0, -1):
+            for w in range(1, min(span, end) + 1):
+                s = scores[w - 1, end - w] + behind[end]
+                np.maximum(behind[end - w], s, out=behind[end - w])
+                s += ahead[end - w]
+                s[taken[w - 1, end - w]] = -np.inf
+                np.maximum(second, s, out=second)
+        best = ahead[lengths, every]
+        for word, found, n, score, more in zip(words, ids.tolist(), count.tolist(), best.tolist(), (best - second).tolist()):
+            found = found[n - 1 :: -1] if n < len(found) else found[::-1]
+            if -1 in found:
+                found = self._spell(word, found)
+            yield tuple(found), score, more, self.join(found) == word
+
+    def _spell(self, word: str, ids: list[int]) -> list[int]:
+        """Bytes for the characters that are no piece, marked by -1."""
+        out, at = [], 0
+        for i in ids:
+            if i < 0:
+                out += [self.byte_id[b] for b in word[at].encode("utf-8", "surrogatepass")]
+                at += 1
+            else:
+                out.append(i)
+                at += len(self.bytes[i].decode())
+        return out
+
     def search(self, word: str) -> list[Path]:
         """The best segmentations of one word, at most ``best``, best first."""
         n, get, push = len(word), self.scores.get, heapq.heappush
@@ -165,8 +265,11 @@ class Pieces:
 
     def nbest(self, text: str) -> tuple[list[Word], list[tuple[float, tuple[tuple[int, int], ...]]]]:
         """Words, and the best combinations: score and the words ``(place, choice)`` that differ from the best."""
+        return self.combine(self.words(text))
+
+    def combine(self, words: list[str]) -> tuple[list[Word], list[tuple[float, tuple[tuple[int, int], ...]]]]:
+        """The same for a text that is already cut into words."""
         get, word = self.known.get, self.word
-        words = self.words(text)
         choices = [get(w) or word(w) for w in words]
         if not choices:
             return [], []
@@ -231,18 +334,20 @@ def encode(docs: DataFrame, model: str = MODEL, best: int = 4, alternatives: boo
         known = pieces(model, best)
         for part in slices(batches, "text"):
             rows: dict[str, list] = {k: [] for k in kinds}
-            for text in part.column("text").to_pylist():
+            texts = part.column("text").to_pylist()
+            cut = [known.words(text) if text else [] for text in texts]
+            known.learn(set(chain.from_iterable(cut)))
+            for text, words in zip(texts, cut):
                 if text is None:
                     for k, v in (("ids", None), ("scores", None), ("changes", None), ("decoded", True)):
                         rows[k].append(v)
                     continue
-                choices, found = known.nbest(text)
+                choices, found = known.combine(words)
                 rows["ids"].append(np.array([*chain.from_iterable([c[0] for c in choices])], np.int32))
                 rows["scores"].append([s for s, _ in found])
                 # words follow each other without gaps, and each decodes to itself
-                rows["decoded"].append(all([c[3] for c in choices]) and "".join(known.words(text)) == (text and " " + text))
+                rows["decoded"].append(all([c[3] for c in choices]) and "".join(words) == (text and " " + text))
                 if alternatives:
-                    words = known.words(text)
                     begins = np.cumsum([0, *[len(c[0]) for c in choices]])
                     rows["changes"].append(
                         [[{"begin": int(begins[w]), "size": len(choices[w][0]), "ids": known.others(words[w])[c - 1][1]} for w, c in changed] for _, changed in found]

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from kindred.llm import nbest_pieces as nb
@@ -51,3 +53,15 @@ def test_rows(spark):
     assert nb.Pieces(nb.MODEL, 1).decode(other) == rows[0][1]
     assert sorted((r.doc_id or 0, r.text or "") for r in nb.decode(out).collect()) == sorted((i or 0, t or "") for i, t in rows)
     assert nb.encode(df.limit(0)).count() == 0
+
+
+def test_words_together_equal_words_alone():
+    together, alone = nb.Pieces(nb.MODEL, 4), nb.Pieces(nb.MODEL, 4)
+    rng = random.Random(5)
+    words = {"".join(rng.choice(" aaetionrsh,.é日🙂▁") for _ in range(rng.randint(1, 70))) for _ in range(600)} | {f" the{i}" for i in range(300)}
+    together.learn(words, cells=2048)
+    assert set(together.known) >= {w for w in words if 8 < len(w) <= 60}
+    assert all(len(w) <= together.longest and found == alone.word(w) for w, found in together.known.items())
+    together.remember = 10
+    together.learn({"x", "y"})
+    assert not together.known
