@@ -332,7 +332,7 @@ def _hot_spans(runs: DataFrame, spec: Repeats) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in part], ["window", "doc_id", "begin"])
 
     rows = runs.where("range < 0").mapInArrow(unpack, "window long, doc_id long, begin long")
-    often = rows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
+    often = materialise(rows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1"), "often-windows")
     return rows.join(often, "window").select("doc_id", "begin", (F.col("begin") + spec.length).alias("end"))
 
 
@@ -345,7 +345,8 @@ def repeated_spans(docs: DataFrame, spec: Repeats) -> DataFrame:
     whole = whole.select("doc_id", F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end"))
     places = scanned.join(copies.select("doc_id", F.col("same").alias("_same")), "doc_id").where("same = _same")
     places = places.select("doc_id", F.explode(F.arrays_zip("kmers", "heads", "places")).alias("x")).select("doc_id", "x.*")
-    often = places.groupBy("kmers").agg(F.count("*").alias("n")).where("n > 1")
+    # a table of its own: then both sides of the join are shuffled as they are, and AQE splits a very common k-mer
+    often = materialise(places.groupBy("kmers").agg(F.count("*").alias("n")).where("n > 1"), "often")
     repeated = materialise(places.join(often, "kmers").select("doc_id", "heads", "places", "n"), "repeated")
     hot = F.col("n") > spec.hot_rows
     n, any_hot = repeated.agg(F.count("*"), F.max(hot)).first()
