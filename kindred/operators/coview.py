@@ -90,7 +90,7 @@ def candidate_ranks(
     if exclude_self:
         asked = asked.where("x != y")
     targets = (
-        asked.select("x", F.struct(F.col("y").alias("id"), F.round(distance, digits).alias("distance"), F.col("w_y").alias("weight")).alias("t"))
+        asked.select("x", F.struct(F.col("y").alias("id"), F.rint(distance * 10**digits).alias("distance"), F.col("w_y").alias("weight")).alias("t"))
         .groupBy("x")
         .agg(F.collect_list("t").alias("targets"))  # at most as many as weights above zero
     )

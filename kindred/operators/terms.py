@@ -58,8 +58,10 @@ def keep_vocabulary_tokens(
     """Restrict ``tokens`` to the vocabulary and drop rows left without any.
 
     A vocabulary counted to be at most ``max_broadcast_words`` goes to every
-    executor and rows stay where they are; a larger one is joined by word.
+    executor and rows stay where they are; a larger one is joined by word. A word
+    listed several times counts as one. With the join, ``key`` must be unique.
     """
+    words = words.select("word").distinct()
     if words.count() > max_broadcast_words:
         kept = vocabulary_tokens(df, words, key)
         return df.drop("tokens").join(kept, key).select(*df.columns)

@@ -26,8 +26,6 @@ TILE_BYTES = 64 << 20
 MAX_TILE_ROWS = 16_384
 MIN_QUERY_ROWS = 256
 CHUNK_CELLS = 500_000
-MAX_TASKS = 20_000
-NEVER = -(1 << 40)
 
 
 @dataclass
@@ -74,7 +72,7 @@ def tile_shape(row_bytes: int, pairs: int, largest: int, parallelism: int) -> tu
 def task_count(spark: SparkSession, tiles: int) -> int:
     """Tasks for a number of tiles: a few tiles each once all cores have work."""
     cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return max(cores, min(tiles, max(4 * cores, tiles // 8), MAX_TASKS))
+    return max(cores, min(tiles, max(4 * cores, tiles // 8)))
 
 
 def build_grid(
@@ -133,8 +131,12 @@ def build_grid(
 
 
 def column_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A list column of equal lengths as a matrix."""
+    """A list column of equal lengths as a matrix. Missing or shorter vectors are an
+    error, as they would shift all rows after them."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = lists.value_lengths()
+    if lists.null_count or (len(lists) and len(lengths.unique()) > 1):
+        raise ValueError("vectors to compare must be there and of one length")
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
@@ -199,6 +201,8 @@ def shortlist_kernel(k: int, weights: Weights, digits: int, null_safe_brand: boo
     unit = 10**digits
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        # below every score; times the number of rows it still fits 64 bits
+        never = -((1 << 62) // max(1, right.num_rows))
         out = {"idX": [], "column": [], "score": []}
         n = right.num_rows
         if left.num_rows and n:
@@ -220,16 +224,19 @@ def shortlist_kernel(k: int, weights: Weights, digits: int, null_safe_brand: boo
             self_rows, self_columns = _same_id(query_ids, ids)
             distances = TileDistances(left, right, weights, null_safe_brand)
             for start, stop in _chunks(left.num_rows, n):
-                score = np.rint((1 - distances.rows(start, stop)) * unit).astype(np.int64)
+                score = np.rint((1 - distances.rows(start, stop)) * unit)
+                if not np.abs(score).max() < -never:  # also where a score is not a number
+                    raise ValueError(f"{digits} digits are too many for these scores, or a vector holds NaN")
+                score = score.astype(np.int64)
                 low, high = np.searchsorted(self_rows, (start, stop))
-                score[self_rows[low:high] - start, self_columns[low:high]] = NEVER
+                score[self_rows[low:high] - start, self_columns[low:high]] = never
                 if grouped := len(starts) < n:
                     best = np.maximum.reduceat(score * n + (n - 1 - place_rank), starts, axis=1)
                     score = best // n
                     ranked = score * n + id_rank[by_place[n - 1 - best % n]]
                 else:
                     ranked = score * n + id_rank
-                valid = score > NEVER
+                valid = score > never
                 if ranked.shape[1] > k:
                     # a group's representative may be in another tile and have any id: at equal
                     # similarity it comes before nothing for certain, and is never cut for its id
@@ -261,7 +268,8 @@ def shortlist_kernel(k: int, weights: Weights, digits: int, null_safe_brand: boo
 
 def rank_kernel(weights: Weights, digits: int, null_safe_brand: bool, exclude_self: bool):
     """For every asked (query, target, target distance): how many candidates of
-    the tile come before the target by (distance, id)."""
+    the tile come before the target by (distance, id). Target distances come in
+    whole units of ``digits``, rounded half to even like those of candidates."""
     unit = 10**digits
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -275,7 +283,7 @@ def rank_kernel(weights: Weights, digits: int, null_safe_brand: bool, exclude_se
             owner = np.repeat(np.arange(left.num_rows), np.asarray(targets.value_lengths()))
             asked = targets.flatten()
             ask_id = asked.field("id").to_pandas().to_numpy()
-            ask_distance = np.rint(asked.field("distance").to_numpy() * unit).astype(np.int64)
+            ask_distance = asked.field("distance").to_numpy().astype(np.int64)
             before_id = np.searchsorted(ids, ask_id)
             distances = TileDistances(left, right, weights, null_safe_brand)
             counts = np.empty(len(owner), np.int64)

@@ -66,8 +66,11 @@ def sum_word_vectors(
 
     Repeated tokens count again; documents without a known token are left out.
     A word table that is measured to fit ``max_broadcast_bytes`` is sent to every
-    executor and documents never move. A larger one is joined by word.
+    executor and documents never move. A larger one is joined by word. Of a word
+    listed several times the smallest vector counts; rows that repeat a ``key``
+    stay apart.
     """
+    words = words.groupBy("word").agg(F.min("vec").alias("vec"))
     n_words, dim = words.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     if not n_words:
         raise ValueError("the word table is empty")
@@ -83,13 +86,13 @@ def sum_word_vectors(
             ]
         )
         return docs.select(key, "tokens").mapInArrow(_summing_batches(shared, dim), schema).withColumnRenamed("key", key)
-    spelled = docs.select(key, F.posexplode("tokens").alias("pos", "word"))
+    spelled = docs.withColumn("_row", F.monotonically_increasing_id()).select(key, "_row", F.posexplode("tokens").alias("pos", "word"))
     total = F.aggregate(
         F.array_sort(F.collect_list(F.struct("pos", "vec"))),
         F.array_repeat(F.lit(0.0), dim),
         lambda acc, x: F.zip_with(acc, x["vec"], lambda a, b: a + b),
     )
-    return spelled.join(words, "word").groupBy(key).agg(total.alias("total"), F.count(F.lit(1)).alias("n"))
+    return spelled.join(words, "word").groupBy(key, "_row").agg(total.alias("total"), F.count(F.lit(1)).alias("n")).drop("_row")
 
 
 def mean_vectors(docs: DataFrame, words: DataFrame, key: str = "id", **options) -> DataFrame:

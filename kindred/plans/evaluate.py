@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from kindred.operators.catalog import normalise_catalog, with_roles
+from kindred.operators.catalog import normalise_catalog, require_unique, with_roles
 from kindred.operators.coview import best_coview, candidate_ranks, coview_ratio, coview_weights, score_per_query
 from kindred.plans.recommend import Model, select_products, with_features
 from kindred.session import materialise
@@ -23,7 +23,8 @@ def evaluate_per_query(
     tile_rows: int | None = None,
 ) -> DataFrame:
     """``x, weight_sum, full_sum`` for ``pairs`` (``skuY, skuX, ggXY``)."""
-    products = select_products(normalise_catalog(raw_catalog), model, words, images)
+    catalog = require_unique(materialise(normalise_catalog(raw_catalog), "catalog"), "id")
+    products = require_unique(select_products(catalog, model, words, images), "sku_id")
     featured = materialise(with_roles(with_features(products, model, words, document_vectors)), "featured")
     weighted = materialise(
         coview_weights(best_coview(pairs, featured.select("sku_id", "primary_sku_id")), ini, rank_by), "coview"

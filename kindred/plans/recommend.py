@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kindred.functions.distance import Weights
 from kindred.functions.vectors import l2_normalize
 from kindred.functions.wordlists import ENGLISH_STOP_WORDS
-from kindred.operators.catalog import join_images, normalise_catalog
+from kindred.operators.catalog import join_images, normalise_catalog, require_unique
 from kindred.operators.neighbours import top_neighbours
 from kindred.operators.terms import keep_vocabulary_tokens, with_title_tokens
 from kindred.operators.titles import (
@@ -71,7 +71,8 @@ def with_features(
     words: DataFrame | None = None,
     document_vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """Add the vectors the weights ask for."""
+    """Add the vectors the weights ask for. A product with several images stays
+    as many rows: vectors are joined back once per ``id``."""
     if model.method == "tfidf_word2vec":
         titles = tfidf_title_vectors(products.select("id", "tokens"), words)
     elif model.method == "mean_word2vec":
@@ -81,12 +82,12 @@ def with_features(
     else:
         _need(document_vectors, "document_vectors", model.method)
         titles = document_vectors.select("id", l2_normalize("vec").alias("title_vec"))
-    featured = products.join(titles, "id")
+    featured = products.join(titles.dropDuplicates(["id"]), "id")
     if model.weights.image:
         featured = featured.withColumn("image_vec", l2_normalize("prelogits")).drop("prelogits")
     if model.weights.product:
         _need(words, "words", "a non-zero product weight")
-        featured = featured.join(product_vectors(products.select("id", "products"), words), "id")
+        featured = featured.join(product_vectors(products.select("id", "products").dropDuplicates(["id"]), words), "id")
     return featured
 
 
@@ -105,7 +106,8 @@ def recommend(
     tile_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(recommendations ``idX, idY, score, method``; products that took part)."""
-    products = select_products(normalise_catalog(raw_catalog), model, words, images)
+    catalog = require_unique(materialise(normalise_catalog(raw_catalog), "catalog"), "id")
+    products = select_products(catalog, model, words, images)
     featured = with_features(products, model, words, document_vectors)
     found = top_neighbours(
         featured, model.weights, k, model.method, model.digits,

@@ -92,12 +92,12 @@ def read_image_vectors(
 
 
 def read_word_vectors(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Text vectors ``word v1 .. vd`` as ``word, vec``; a ``count dim`` header is skipped."""
+    """Text vectors ``word v1 .. vd`` as ``word, vec``; a header of two whole numbers is skipped."""
     parts = F.split(F.rtrim("value"), " ")
     return (
         spark.read.text(path)
         .select(parts.alias("p"))
-        .where(F.size("p") > 2)
+        .where((F.size("p") > 1) & ~F.rtrim("value").rlike(r"^\d+ \d+$"))
         .select(
             F.element_at("p", 1).alias("word"),
             F.transform(F.slice("p", 2, F.size("p") - 1), lambda x: x.cast("double")).alias("vec"),
@@ -112,13 +112,14 @@ def read_name_map(spark: SparkSession, path: str) -> DataFrame:
     in the split, so a map is expected to be one file.
     """
     parts = F.split("value", "=>")
-    arrow = F.when(F.size(parts) > 1, F.trim(F.element_at(parts, 2))).otherwise(
+    trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    arrow = F.when(F.size(parts) > 1, trim(F.element_at(parts, 2))).otherwise(
         F.raise_error(F.concat(F.lit("no '=>' in line: "), "value"))
     )
     return (
         spark.read.text(path)
         .select(
-            F.trim(F.element_at(parts, 1)).alias("from"),
+            trim(F.element_at(parts, 1)).alias("from"),
             arrow.alias("to"),
             F.struct(
                 F.col("_metadata.file_path"),

@@ -82,3 +82,12 @@ def test_equals_brute_force(spark, tile_rows, exclude_self):
     assert got.keys() == want.keys()
     for x in want:
         assert got[x] == pytest.approx(want[x])
+
+
+def test_rank_at_a_rounding_edge(spark):
+    rows = [("a", "c", 999997.5, angle(0)), ("b", "c", 1000002.5, angle(0))]
+    products = with_roles(spark.createDataFrame([(s, None, c, p, v) for s, c, p, v in rows],
+                                                "sku_id string, group_id string, category_id string, price_hint double, title_vec array<double>"))
+    weighted = spark.createDataFrame([("b", "a", 1.0)], "x string, y string, w_y double")
+    got = cv.candidate_ranks(products, weighted, Weights(0, 0, price=1), 6, exclude_self=True).collect()
+    assert [(r.x, r.y, r.rank0) for r in got] == [("b", "a", 0)]

@@ -145,3 +145,22 @@ def test_bound_is_never_above_a_distance(spark):
     cells = {r[0]: int(cell[i]) for i, r in enumerate(rows)}
     assert all(bounds[x, cells[y]] <= 1 - s + 1e-7 for x, y, s in everything)
     assert max(bounds.values()) > 0.05
+
+
+@pytest.mark.parametrize("tile_rows,prune", [(None, True), (8, False), (8, True)])
+def test_ties_inside_groups_in_any_tiles(spark, tile_rows, prune):
+    for seed in range(2):
+        rng = random.Random(seed)
+        rows = [(f"p{i:02}", f"s{rng.random():.6f}", rng.choice([None, "g1", "g2", "g3", "g4"]), "c", "b", 1.0,
+                 angle(rng.choice([0, 40])), [1.0]) for i in range(60)]
+        w = Weights(1, 0)
+        assert run(spark, rows, w, 3, tile_rows=tile_rows, prune=prune) == brute_force(rows, w, 3, 6)
+
+
+def test_many_digits_and_missing_vectors(spark):
+    rows = [(i, i, None, "c", None, 1.0, v, v) for i, v in (("a", [1.0, 0.0]), ("b", [-1.0, 0.0]), ("c", [0.0, 1.0]))]
+    got = top_neighbours(spark.createDataFrame(rows, SCHEMA), Weights(1, 1), 2, digits=13).collect()
+    assert len(got) == 6
+    broken = spark.createDataFrame([*rows, ("d", "d", None, "c", None, 1.0, None, [1.0, 0.0])], SCHEMA)
+    with pytest.raises(Exception, match="one length"):
+        top_neighbours(broken, Weights(1, 0), 2).collect()

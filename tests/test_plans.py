@@ -27,7 +27,7 @@ def test_query_equals_sql(spark, db, name):
 def test_names_are_valid():
     import __spark_entry__ as contract
 
-    assert set(contract.oracle_sql()) <= set(contract.queries()) == set(REGISTRY)
+    assert set(contract.oracle_sql()) <= set(contract.queries()) >= set(REGISTRY)
 
 
 def test_image_weight_zero_keeps_products_without_image(spark):

@@ -112,3 +112,11 @@ def test_component_removal(docs, words, spark):
 def test_top_values_break_ties_by_name(spark):
     df = spark.createDataFrame([(v,) for v in ["b", "a", "a", "b", "c", None, None, None]], "p string")
     assert [tuple(r) for r in terms.top_values(df, "p", 2).collect()] == [("a", 2), ("b", 2)]
+
+
+@pytest.mark.parametrize("limit", [1 << 28, 0])
+def test_repeated_words_and_ids(spark, limit):
+    words = spark.createDataFrame([("a", [3.0, 4.0]), ("a", [1.0, 2.0])], "word string, vec array<double>")
+    docs = spark.createDataFrame([("x", ["a", "a"]), ("x", ["a"])], "id string, tokens array<string>")
+    got = titles.sum_word_vectors(docs, words, max_broadcast_bytes=limit).collect()
+    assert sorted((r.id, list(r.total), r.n) for r in got) == [("x", [1.0, 2.0], 1), ("x", [2.0, 4.0], 2)]
