@@ -59,7 +59,11 @@ def features(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     keys = np.unique(keys)
     size = np.maximum(np.diff(offsets), 1)
     count = np.bincount(doc, minlength=n)
-    distinct = np.bincount(np.unique(np.stack([doc.astype(np.uint64), words]), axis=1)[0].astype(np.int64), minlength=n) if len(doc) else count
+    order = np.lexsort((words, doc))
+    sorted_doc, sorted_words = doc[order], words[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (sorted_doc[1:] != sorted_doc[:-1]) | (sorted_words[1:] != sorted_words[:-1])
+    distinct = np.bincount(sorted_doc[new], minlength=n)
     shape = [
         per_text(MARK[data], offsets) / size, per_text(UPPER[data], offsets) / size, per_text(data == 124, offsets) / size * 4,
         distinct / np.maximum(count, 1), np.log1p(count) / 12, size / np.maximum(count, 1) / 24,
