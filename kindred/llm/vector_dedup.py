@@ -3,9 +3,12 @@
 Vectors are dealt to the cells of their nearest centroids, several each, so that
 cells overlap; a cell too large for one task is cut into blocks, and pairs of
 blocks meet in tiles. In a tile, small overlapping clusters each get a graph by
-robust pruning, and their adjacency lists are united. A search goes greedily from
-the medoids of the clusters (and from the query's own node), then expands over
-everything it can reach inside the range. Links are verified in double precision.
+robust pruning, and their adjacency lists are united. Clumps of alike vectors are
+collapsed to leaders at ever wider scales, and the leaders get graphs as well, so
+that clumps of any size have edges to each other. A search goes greedily from the
+medoids of the clusters (and from the query's own node), then expands over
+everything it can reach inside the range from any node it has seen there. Links
+are verified in double precision.
 
 A bounded sample of vectors is compared with all others to audit the recall; if it
 falls short the search is done again with more overlap. Tiles return sums and
@@ -47,6 +50,7 @@ class Range:
     alpha: float = 1.2
     beam: int = 8
     hops: int = 12
+    scales: int = 6
 
 
 def unit_vectors(rows: DataFrame) -> DataFrame:
@@ -117,6 +121,26 @@ def robust_prune(x: np.ndarray, spec: Range) -> np.ndarray:
     return out
 
 
+def clumps(x: np.ndarray, spec: Range) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Members, the leader of each, and all leaders, from the narrowest scale to a quarter of the range.
+
+    Each scale collapses the leaders of the one before; one that collapses nothing is left out.
+    """
+    left = np.arange(len(x))
+    for scale in range(spec.scales, 0, -1):
+        close = 2 - 2 * (x[left] @ x[left].T) <= (2 - 2 * spec.cosine) / 4**scale
+        np.fill_diagonal(close, True)
+        lead, free = np.arange(len(left)), np.ones(len(left), bool)
+        for i in np.flatnonzero(close.sum(1) > 1):
+            if free[i]:
+                own = close[i] & free
+                lead[own], free[own] = i, False
+        kept = lead == np.arange(len(left))
+        if not kept.all():
+            yield left[~kept], left[lead[~kept]], left[kept]
+            left = left[kept]
+
+
 def flat_graph(x: np.ndarray, spec: Range) -> tuple[np.ndarray, np.ndarray]:
     """Adjacency matrix of the united graphs of overlapping clusters, and the clusters' medoids."""
     n = len(x)
@@ -136,6 +160,12 @@ def flat_graph(x: np.ndarray, spec: Range) -> tuple[np.ndarray, np.ndarray]:
             lists = robust_prune(x[part], spec)
             u, r = np.nonzero(lists >= 0)
             adjacent[part[u], part[lists[u, r]]] = True
+    for members, leaders, own in clumps(x, spec):
+        adjacent[members, leaders] = True
+        lists = robust_prune(x[own], spec)
+        u, r = np.nonzero(lists >= 0)
+        adjacent[own[u], own[lists[u, r]]] = True
+    np.fill_diagonal(adjacent, False)
     return adjacent | adjacent.T, np.array(medoids)
 
 
@@ -155,6 +185,9 @@ def search(x: np.ndarray, adjacent: np.ndarray, medoids: np.ndarray, queries: np
     pool, score = medoids[take], np.take_along_axis(near, take, 1)
     done = np.zeros(pool.shape, bool)
     rows = np.arange(q)
+    # what is seen inside the range (with room for single precision) counts, in the pool or not
+    fresh, least = np.zeros((q, n), bool), spec.cosine - 1e-4
+    fresh[:, medoids] = near >= least
     for _ in range(spec.hops):
         open_ = np.where(done, -np.inf, score)
         place = open_.argmax(1)
@@ -163,6 +196,8 @@ def search(x: np.ndarray, adjacent: np.ndarray, medoids: np.ndarray, queries: np
         done[rows, place] = True
         new = lists[pool[rows, place]]
         gained = np.where(new >= 0, np.einsum("qd,qkd->qk", target, low[new]), -np.inf)
+        r, c = np.nonzero(gained >= least)
+        fresh[r, new[r, c]] = True
         ids, values = np.concatenate([pool, new], 1), np.concatenate([score, gained], 1)
         seen = np.concatenate([done, np.zeros(new.shape, bool)], 1)
         order = np.lexsort((~seen, ids), axis=1)
@@ -173,7 +208,6 @@ def search(x: np.ndarray, adjacent: np.ndarray, medoids: np.ndarray, queries: np
         done |= ~np.isfinite(score)
     # range: what is reached from inside the range, until nothing new is inside
     visited, inside = np.zeros((q, n), bool), np.zeros((q, n), bool)
-    fresh = np.zeros((q, n), bool)
     fresh[rows[:, None], np.where(np.isfinite(score), pool, queries[:, None])] = True
     fresh[rows, queries] = True
     links = adjacent.astype(np.float32)

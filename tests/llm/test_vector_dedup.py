@@ -44,6 +44,21 @@ def test_equals_brute_force(spark, spec):
     assert Counter(got[i][1] == want[i][1] for i in want)[True] >= 0.98 * len(want)
 
 
+@pytest.mark.parametrize("clumps, size", [(5, 60), (30, 55)])
+def test_links_between_large_clumps(spark, clumps, size):
+    rng = np.random.default_rng(7)
+    centres = np.sqrt(0.96) * np.eye(40)[0] + np.sqrt(0.04) * np.eye(40)[1 : clumps + 1]
+    x = np.repeat(centres, size, 0)[rng.permutation(clumps * size)] + rng.normal(size=(clumps * size, 40)) * 1e-4
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    spec = vd.Range(cell=2_000, block=2_000, overlaps=(2,))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in vd.dedup(df, spec).collect()} == brute(rows)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    adjacent, medoids = vd.flat_graph(unit, vd.Range())
+    found = vd.search(unit, adjacent, medoids, np.arange(len(x)), vd.Range())
+    assert (found.sum(1) == len(x) - 1).all()
+
+
 def test_edges(spark):
     schema = "vec_id long, embedding array<float>"
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (0, [2.0, 0.0])], schema)
