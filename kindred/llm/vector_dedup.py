@@ -10,18 +10,22 @@ medoids of the clusters (and from the query's own node), then expands over
 everything it can reach inside the range from any node it has seen there. Links
 are verified in double precision.
 
-A bounded sample of vectors is compared with all others to audit the recall; if it
-falls short the search is done again with more overlap. Tiles return sums and
-spanning forests, never the pairs; a pair that meets in several tiles counts in
-one of them.
+A bounded sample of vectors, some with links found and some without, is compared
+with all others to audit the recall; if it falls short the search is done again
+with more overlap. If it still does, or the sample has no link to measure it by,
+the links are found exactly: a cell then meets every vector that can be in range
+of one of its own, and tiles are compared in full. Tiles return sums and spanning
+forests, never the pairs; a pair that meets in several tiles counts in one of them.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +35,15 @@ from kindred.llm.components import connected_components, local_stars
 from kindred.llm.minhash_dedup import by_key
 from kindred.session import materialise
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Range:
-    """``overlaps`` are tried in turn until the audited recall reaches ``recall``; the last stands."""
+    """``overlaps`` are tried in turn until the audited recall reaches ``recall``; after the last the comparison is exact.
+
+    ``audited`` vectors with links found and as many without are compared with all others.
+    """
 
     cosine: float = 0.95
     overlaps: tuple[int, ...] = (2, 4, 8)
@@ -227,9 +236,9 @@ def search(x: np.ndarray, adjacent: np.ndarray, medoids: np.ndarray, queries: np
     return inside
 
 
-def _tile_links(columns: list[pa.Array], spec: Range):
+def _tile_links(columns: list[pa.Array], spec: Range, exact: bool = False):
     """``kind, a, b``: the links of each vector counted in this tile (kind 0), and a spanning forest (kind 1)."""
-    _, ids, copies, unit, cells, cell, block = columns
+    _, ids, copies, unit, cells, cell, block, two = columns
     ids, copies, block = (c.to_numpy() for c in (ids, copies, block))
     order = np.argsort(ids, kind="stable")
     x = _matrix(unit)[order]
@@ -239,13 +248,13 @@ def _tile_links(columns: list[pa.Array], spec: Range):
     n = len(ids)
     if n < 2:
         return None
-    adjacent, medoids = flat_graph(x, spec)
-    split = block.min() != block.max()
+    adjacent, medoids = (None, None) if exact else flat_graph(x, spec)
+    split = two[0].as_py()
     linked, total = np.zeros((n, n), bool), np.zeros(n, np.int64)
     for i in range(0, n, 256):
         queries = np.arange(i, min(n, i + 256))
-        inside = search(x, adjacent, medoids, queries, spec)
-        linked[queries] = inside
+        linked[queries] = x[queries] @ x.T >= spec.cosine if exact else search(x, adjacent, medoids, queries, spec)
+    np.fill_diagonal(linked, False)
     # a link holds both ways, whichever search has found it
     linked |= linked.T
     for i in range(0, n, 256):
@@ -265,7 +274,7 @@ def _tile_links(columns: list[pa.Array], spec: Range):
 
 
 def _tiles(reps: DataFrame, centres: np.ndarray, overlap: int, spec: Range) -> DataFrame:
-    """Rows of every tile: ``tile, vec_id, copies, unit, cells, cell, block``."""
+    """Rows of every tile: ``tile, vec_id, copies, unit, cells, cell, block, two``; ``two`` if it joins two blocks."""
     dim = centres.shape[1]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,12 +295,70 @@ def _tiles(reps: DataFrame, centres: np.ndarray, overlap: int, spec: Range) -> D
     rows = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     tile = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other"))
-    return rows.select(tile.alias("tile"), "vec_id", "copies", "unit", "cells", "cell", "block")
+    return rows.select(tile.alias("tile"), "vec_id", "copies", "unit", "cells", "cell", "block", (F.col("block") != F.col("other")).alias("two"))
+
+
+def _exact_tiles(reps: DataFrame, centres: np.ndarray, spec: Range) -> DataFrame:
+    """Tiles in which every pair in range meets once, with the columns of ``_tiles``.
+
+    Each vector is at home in the cell of its nearest centroid ``h``. A vector at home
+    with ``c`` lies on that centroid's side of the plane between ``c`` and ``h``, so a
+    vector farther from the plane than the range has no partner there. The others
+    visit ``c`` (from the later cells only, as pairs are symmetric), and the blocks
+    of visitors, numbered below 0, meet those at home.
+    """
+    dim = centres.shape[1]
+    reach = np.sqrt(1 - spec.cosine**2) if spec.cosine > 0 else 1.0
+    between = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 0))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            home, visits = -dims.astype(np.int64), [[] for _ in dims]
+            fit = np.flatnonzero(dims == dim)
+            for i in range(0, len(fit), 1024):
+                some = fit[i : i + 1024]
+                near = _matrix(batch.column("unit").take(pa.array(some))) @ centres.T
+                own = home[some] = near.argmax(1)
+                can = near - near.max(1, keepdims=True) >= -reach * between[own] - 1e-6
+                for j, row in enumerate(can):
+                    visits[some[j]] = np.flatnonzero(row[: own[j]]).tolist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(visits, pa.list_(pa.int64()))], [*batch.schema.names, "home", "visits"])
+
+    schema = StructType([*reps.schema.fields, StructField("home", LongType()), StructField("visits", ArrayType(LongType()))])
+    dealt = reps.mapInArrow(deal, schema)
+    at_home = F.struct(F.col("home").alias("cell"), F.lit(True).alias("own"))
+    visiting = F.transform("visits", lambda c: F.struct(c.alias("cell"), F.lit(False).alias("own")))
+    dealt = materialise(dealt.withColumn("place", F.explode(F.concat(F.array(at_home), visiting))).select(*reps.columns, "place.*"), "exact-cells")
+    count = lambda own: F.ceil(F.count(F.when(F.col("own") == own, 1)) / spec.block)
+    sizes = dealt.groupBy("cell").agg(count(True).alias("homes"), count(False).alias("guests"))
+    rows = dealt.join(F.broadcast(sizes), "cell") if len(centres) <= spec.most_cells else dealt.join(sizes, "cell")
+    hashed = F.xxhash64("vec_id")
+    rows = rows.withColumn("block", F.when(F.col("own"), F.pmod(hashed, F.col("homes"))).otherwise(-1 - F.pmod(hashed, F.greatest("guests", F.lit(1)))))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    homes = F.when(F.col("homes") > 0, F.sequence(zero, F.col("homes") - 1)).otherwise(F.array().cast("array<long>"))
+    guests = F.when(F.col("guests") > 0, F.transform(F.sequence(one, F.col("guests")), lambda g: -g)).otherwise(F.array().cast("array<long>"))
+    rows = rows.withColumn("other", F.explode(F.when(F.col("own"), F.concat(homes, guests)).otherwise(homes)))
+    tile = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other"))
+    return rows.select(
+        tile.alias("tile"), "vec_id", "copies", "unit", F.array("cell").alias("cells"), "cell", "block", (F.col("block") != F.col("other")).alias("two")
+    )
+
 
+def audit(reps: DataFrame, counts: DataFrame, spec: Range) -> tuple[float, float]:
+    """Links that the search has found, and that there are among all rows, estimated from bounded samples.
 
-def audit(reps: DataFrame, counts: DataFrame, spec: Range) -> tuple[int, int]:
-    """Links of a bounded sample of vectors: how many the search has found, and how many there are among all rows."""
-    chosen = reps.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(spec.audited).select("vec_id", "unit", "dim").toPandas()
+    Vectors with links found and vectors without are drawn apart, by a hash, and each
+    sample stands for all of its kind.
+    """
+    marked = reps.join(counts.select("vec_id", F.lit(1).alias("linked")), "vec_id", "left").withColumn("linked", F.coalesce("linked", F.lit(0)))
+    kinds = {r["linked"]: r["count"] for r in marked.groupBy("linked").count().collect()}
+    drawn = [
+        marked.where(F.col("linked") == kind).select("vec_id", "unit", "dim", "linked").orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(spec.audited).toPandas()
+        for kind in kinds
+    ]
+    chosen = pd.concat(drawn)
+    weight = {k: kinds[k] / len(d) for k, d in zip(kinds, drawn)}
     queries = {d: (g["vec_id"].to_numpy(), np.stack([np.frombuffer(u) for u in g["unit"]])) for d, g in chosen.groupby("dim")}
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,8 +374,8 @@ def audit(reps: DataFrame, counts: DataFrame, spec: Range) -> tuple[int, int]:
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["vec_id", "n"])
 
     true = reps.select("vec_id", "unit", "dim", "copies").mapInArrow(compare, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
-    row = true.join(counts, "vec_id", "left").agg(F.sum(F.least("n", F.coalesce("found", F.lit(0)))), F.sum("n")).first()
-    return row[0] or 0, row[1] or 0
+    rows = true.join(counts, "vec_id", "left").select("n", F.coalesce("found", F.lit(0)).alias("found"), F.col("found").isNotNull().cast("int").alias("linked")).collect()
+    return sum(weight[r["linked"]] * min(r["n"], r["found"]) for r in rows), sum(weight[r["linked"]] * r["n"] for r in rows)
 
 
 def dedup(rows: DataFrame, spec: Range = Range()) -> DataFrame:
@@ -336,11 +403,20 @@ def dedup(rows: DataFrame, spec: Range = Range()) -> DataFrame:
     sample = reps.where(F.col("dim") == dims["dim"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(spec.sample).select("unit").toPandas()["unit"]
     x = np.stack([np.frombuffer(u) for u in sample])
     centres = kmeans(x, int(np.clip(-(-n // spec.cell), 1, min(spec.most_cells, len(x)))))
-    for overlap in spec.overlaps:
-        tiles = _tiles(reps.select("vec_id", "copies", "unit", "dim"), centres, overlap, spec)
-        found = materialise(by_key(tiles, "tile", lambda c: _tile_links(c, spec), "kind long, a long, b long"), "found")
+    own = reps.select("vec_id", "copies", "unit", "dim")
+    for overlap in (*spec.overlaps, None):
+        exact = overlap is None
+        tiles = _exact_tiles(own, centres, spec) if exact else _tiles(own, centres, overlap, spec)
+        found = materialise(by_key(tiles, "tile", lambda c: _tile_links(c, spec, exact), "kind long, a long, b long"), "found")
         counts = materialise(found.where("kind = 0").groupBy(F.col("a").alias("vec_id")).agg(F.sum("b").alias("found")), "counts")
-        right, all_ = audit(reps, counts, spec)
+        if exact:
+            log.info("exact comparison")
+            break
+        right, all_ = audit(own, counts, spec)
+        log.info("overlap %d: %.0f of %.0f audited links found", overlap, right, all_)
+        # nothing to measure by: no overlap can be vouched for
+        if not all_:
+            continue
         if right >= spec.recall * all_:
             break
     components = connected_components(found.where("kind = 1").select("a", "b"))

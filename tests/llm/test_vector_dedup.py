@@ -59,6 +59,29 @@ def test_links_between_large_clumps(spark, clumps, size):
     assert (found.sum(1) == len(x) - 1).all()
 
 
+def test_short_or_unmeasured_recall_ends_in_exact_links(spark, monkeypatch):
+    rows = vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    short = vd.Range(cell=20, block=15, cluster=10, overlaps=(1,), recall=1.1)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in vd.dedup(df, short).collect()} == brute(rows)
+    # the search finds nothing and the audited vectors have no link
+    rng = np.random.default_rng(4)
+    lone = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(3_000, 24)))]
+    lone[2_999] = (2_999, [v + 0.01 for v in lone[1][1]])
+    df = spark.createDataFrame(lone, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(vd, "audit", lambda *_: (0, 0))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vd.dedup(df, vd.Range(cell=100, overlaps=(1,))).collect()}
+    assert got == brute(lone) and got[2_999] == (1, 1)
+
+
+def test_audit_draws_linked_vectors(spark):
+    lone = np.eye(300)
+    lone[299] = lone[298] + 0.01 * lone[0]
+    reps = vd.unit_vectors(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(lone)], "vec_id long, embedding array<double>")).selectExpr("*", "1L as copies")
+    counts = spark.createDataFrame([(298, 1), (299, 1)], "vec_id long, found long")
+    assert vd.audit(reps, counts, vd.Range(audited=4)) == (2, 2)
+
+
 def test_edges(spark):
     schema = "vec_id long, embedding array<float>"
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (0, [2.0, 0.0])], schema)
