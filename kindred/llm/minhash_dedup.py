@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import lower_ascii, mix64, slices, span_hashes, text_bytes, word_spans
+from kindred.llm.common import WORD_PATTERN, lower_ascii, mix64, slices, span_hashes, text_bytes, word_spans
 from kindred.llm.components import connected_components, local_stars
 from kindred.session import materialise
 
@@ -304,7 +304,21 @@ def dedup(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """The documents with one row of each group of near-duplicates, the smallest id; all columns stay."""
-    gone = dedup(docs, join).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return left
+    """The documents with one row of each group of near-duplicates, the smallest id; all columns stay.
+
+    Of rows that repeat the smallest id and have a set, the one first by text and then
+    by a hash of all columns stays. Rows without a set or an id are in no group: all stay.
+    """
+    found = materialise(dedup(docs, join), "verdicts")
+    some = F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False))
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, some & (F.col("doc_id").cast("long") == F.col("_gone")), "left_anti")
+    # only ids with several rows that have a set are ranked
+    often = found.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
+    often = materialise(often.select(F.col("doc_id").alias("_often")), "repeated-ids")
+    if often.isEmpty():
+        return left
+    own = some & (F.col("doc_id").cast("long") == F.col("_often"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    first = left.join(often, own, "left_semi").groupBy(F.col("doc_id").cast("long")).agg(F.min_by(row, F.struct("text", F.xxhash64(row))).alias("_first"))
+    return left.join(often, own, "left_anti").union(first.select("_first.*"))

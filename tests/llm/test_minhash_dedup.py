@@ -65,6 +65,29 @@ def test_repeated_rows_and_empty_table(spark):
     assert md.dedup(df.limit(0), md.Join(2)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows = [r for r in corpus() if r[1] is not None] * 2
+    # repeated rows of one id, alike and not, and rows in no group
+    rows += [(-1, "p q r s t"), (-1, "p q r s t"), (-1, "P q r s t"), (-2, "u v w"), (-2, "x y z"), (None, "a b"), (None, "a b"), (-3, None), (-3, ""), (-3, "i j k"), (-3, "i j k"), (-1, " ")]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
+    got = [(r.doc_id, r.text) for r in md.drop_duplicates(df, md.Join(2)).collect()]
+    found = brute([r for r in corpus() if r[1] is not None])
+    want = {i for i, (n, root) in found.items() if n and i == root}
+    have = [i for i, t in got if i is not None and i > 0 and t.strip()]
+    assert sorted(have) == sorted(want)
+    assert sum(i is not None and i > 0 and not t.strip() for i, t in got) == 2 * sum(not n for n, _ in found.values())
+    rest = sorted((str(i), str(t)) for i, t in got if i is None or i < 0)
+    assert rest == [("-1", " "), ("-1", "P q r s t"), ("-2", "u v w"), ("-3", ""), ("-3", "None"), ("-3", "i j k"), ("None", "a b"), ("None", "a b")]
+
+
+def test_repeated_clean_document_survives_the_next_stage(spark):
+    from kindred.llm import suffix_dedup
+
+    text = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(5, text, "x", "y")] * 2, SCHEMA)
+    assert [r.text for r in suffix_dedup.cut_repeats(md.drop_duplicates(df)).collect()] == [text]
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 9), (9, 7), (5, 5), (None, 2)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
