@@ -29,6 +29,7 @@ TOKEN = re.compile(
     re.DOTALL,
 )
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+HREF = re.compile(r"(?:^|[\s\"'/])href\s*=", re.IGNORECASE)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements whose content is no text of the page.
 SILENT = frozenset("script style head title template noscript textarea select option button svg iframe object canvas audio video math".split())
@@ -84,34 +85,43 @@ def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order, with white space made single and character references decoded.
 
     Missing and wrong end tags are taken as browsers take them, roughly; a tag
-    cut off by the end of the page is no text.
+    cut off by the end of the page is no text. The path of a block has each token
+    of all open elements once.
     """
     stack: list[tuple[str, list[str]]] = []
     out: list[Block] = []
     pieces: list[str] = []
-    linked = silent = at = 0
+    around: dict[str, int] = {}
+    links: list[int] = []
+    linked = silent = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
-            path = [t for _, tokens in stack[-16:] for t in tokens]
             leaf = next((f"leaf:{tag}" for tag, _ in reversed(stack) if tag in BREAKS), "leaf:")
-            out.append(Block([*path, leaf], text, min(1.0, linked / len(text))))
+            out.append(Block([*around, leaf], text, min(1.0, linked / len(text))))
         pieces.clear()
         linked = 0
 
     def pop(place: int) -> None:
         nonlocal silent
         while len(stack) > place:
-            silent -= stack.pop()[0] in SILENT
+            tag, tokens = stack.pop()
+            silent -= tag in SILENT
+            for t in tokens:
+                around[t] -= 1
+                if not around[t]:
+                    del around[t]
+        while links and links[-1] >= place:
+            links.pop()
 
     def add(raw: str) -> None:
         nonlocal linked
         if raw and not silent:
             piece = html.unescape(raw)
             pieces.append(piece)
-            if any(tag == "a" for tag, _ in stack[-4:]):
+            if links:
                 linked += len(piece.strip())
 
     position, size = 0, len(page)
@@ -136,7 +146,7 @@ def blocks(page: str) -> list[Block]:
         if tag in BREAKS:
             flush()
             if tag != "a":  # a block ends an open paragraph
-                place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
+                place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None) if "p" in around else None
                 if place is not None:
                     pop(place)
         elif tag == "br":
@@ -155,7 +165,11 @@ def blocks(page: str) -> list[Block]:
             position = end.end() if end else size
             continue
         names = ["".join(x) for x in NAMES.findall(attributes)] if attributes else []
+        if tag == "a":  # ends an open link; without an address it is none
+            links[:] = [len(stack)] if HREF.search(attributes) else []
         stack.append((tag, name_tokens(".".join([tag, *names]))))
+        for t in stack[-1][1]:
+            around[t] = around.get(t, 0) + 1
         silent += tag in SILENT
     flush()
     return out

@@ -46,6 +46,17 @@ def test_blocks(source, want):
     assert [b.text for b in hb.blocks(source)] == want
 
 
+@pytest.mark.parametrize("inner", ["<div>", "<table><tr><td>", "<font><b>"])
+def test_names_and_links_above_thirty_levels(inner):
+    text = prose(40, 1)
+    for name, good in (("section class=comments", False), ("article", True)):
+        found = hb.blocks(f"<body><{name}>" + inner * 30 + f"{text}</{name.split()[0]}><p>after")
+        assert hb.weak_label(found[0]) == good and {"section", "article"} & set(found[0].path)
+        assert not {"section", "article", ".comments"} & set(found[1].path)
+    found = hb.blocks("<a href=/x>" + "<span>" * 30 + text + "</a><p>after<p><a name=top>" + text)
+    assert [b.linked for b in found] == [1.0, 0.0, 0.0]
+
+
 def test_gradients_equal_differences():
     spec = hb.Labeller(hidden=3, path_rows=16, path_size=4, word_size=3)
     network = hb.Network(spec)
