@@ -41,6 +41,17 @@ BREAKS = frozenset(
 )
 ENDS_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
+#: What may stand in a head; any other element, and text, ends one that is open.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: HTML elements that end an open drawing or formula, unless they stand in one of its ``HTML_INSIDE``.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span "
+    "strong strike sub sup table tt u ul var".split()
+)
+HTML_INSIDE = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+#: Other silent elements, and the start tags that end them.
+ENDED_BY = {"select": {"select", "input", "textarea", "body"}, "button": {"button", "body"}}
+
 #: Names that say that a block is not the article, by kind, and names of the article's container.
 KINDS: dict[str, tuple[str, ...]] = {
     "menu": ("nav", "div.menu", "div.navbar", "ul.navigation", "div#topnav", "div.breadcrumbs", "nav.site-nav", "div.pagination", "div.toc-nav"),
@@ -116,8 +127,22 @@ def blocks(page: str) -> list[Block]:
         while links and links[-1] >= place:
             links.pop()
 
+    def end_silent(tag: str) -> None:
+        """End the silent elements that a start tag ends."""
+        for i, (name, _) in enumerate(stack):
+            if name == "head":
+                ends = tag not in IN_HEAD and all(below not in SILENT for below, _ in stack[i + 1 :])
+            elif name in ("svg", "math"):
+                ends = tag in BREAKOUT and all(below not in HTML_INSIDE for below, _ in stack[i + 1 :])
+            else:
+                ends = tag in ENDED_BY.get(name, ())
+            if ends:
+                return pop(i)
+
     def add(raw: str) -> None:
         nonlocal linked
+        if silent and stack[-1][0] == "head" and raw.strip():
+            pop(len(stack) - 1)
         if raw and not silent:
             piece = html.unescape(raw)
             pieces.append(piece)
@@ -143,6 +168,8 @@ def blocks(page: str) -> list[Block]:
             if place is not None:
                 pop(place)
             continue
+        if silent:
+            end_silent(tag)
         if tag in BREAKS:
             flush()
             if tag != "a":  # a block ends an open paragraph

@@ -46,6 +46,20 @@ def test_blocks(source, want):
     assert [b.text for b in hb.blocks(source)] == want
 
 
+@pytest.mark.parametrize("source, want", [
+    ("<html><head><title>t</title><meta charset=utf-8><link rel=x><body><p>a<p>b", ["a", "b"]),
+    ("<head><title>t</title><script>s</script><p>a</p>b", ["a", "b"]),
+    ("<head><title>t</title> a <b>b</b>", ["a b"]),
+    ("<head><style>s</style></head><body>a", ["a"]),
+    ("<head><title>t</title><button>no</button>a", ["a"]),
+    ("<p>a<svg><g><text>no</text><p>b", ["a", "b"]),
+    ("a<svg><foreignObject><p>no</p></foreignObject></svg><p>b", ["a", "b"]),
+    ("a<select><option>no<input>b<button>no<button>no</button>c", ["abc"]),
+])
+def test_silent_elements_that_are_not_closed(source, want):
+    assert [b.text for b in hb.blocks(source)] == want
+
+
 @pytest.mark.parametrize("inner", ["<div>", "<table><tr><td>", "<font><b>"])
 def test_names_and_links_above_thirty_levels(inner):
     text = prose(40, 1)
