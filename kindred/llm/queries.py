@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kindred.llm import html_blocks, language_id, minhash_dedup, mixing, nbest_pieces, quality_rules, site_quality, suffix_dedup, url_filters, vector_dedup
+from kindred.llm import byte_bpe, html_blocks, language_id, minhash_dedup, mixing, nbest_pieces, quality_rules, site_quality, suffix_dedup, url_filters, vector_dedup
 from kindred.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +61,20 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_mixing, op4_html_blocks, op5_site_quality, op6_minhash_dedup, op7_vector_dedup, op8_language_id, op9_suffix_dedup, op10_nbest_pieces)}
+@F.pandas_udf(T.StringType())
+def _ids_sha256(ids: pd.Series) -> pd.Series:
+    """SHA-256 of ids as little-endian unsigned 32-bit integers."""
+    return ids.map(lambda found: hashlib.sha256(found.astype("<u4").tobytes()).hexdigest())
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), _ids_sha256("ids").alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256")
+    )
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_mixing, op4_html_blocks, op5_site_quality, op6_minhash_dedup, op7_vector_dedup, op8_language_id, op9_suffix_dedup, op10_nbest_pieces, op12_byte_bpe)}
 #: The general rules of op2 concern files and pages that the default would let pass; their verdict is in the SQL as well.
 ORACLES: dict[str, str] = {
     "op2_url_filters": r"""
