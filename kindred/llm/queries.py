@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindred.llm import byte_bpe, fill_middle, html_blocks, language_id, minhash_dedup, mixing, nbest_pieces, quality_rules, site_quality, suffix_dedup, url_filters, vector_dedup
+from kindred.llm import byte_bpe, conversation_repair, fill_middle, html_blocks, language_id, minhash_dedup, mixing, nbest_pieces, quality_rules, site_quality, suffix_dedup, url_filters, vector_dedup
 from kindred.llm.common import table
+from kindred.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +63,54 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows lost, emptied, without sentence ends, repeated or given to the user, as a checksum of id and turn says."""
+    turn, blank = F.col("turn").cast("long"), F.lit(" ")
+    place = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(turn.cast("string"), blank))
+    kind, text = F.crc32(place) % 20, F.coalesce("text", blank)
+    rows = conversations.select(
+        "conv_id", turn.alias("turn"), kind.alias("kind"), F.when(kind == 4, "user").otherwise(F.coalesce("role", blank)).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+    )
+    times = F.when(F.col("kind") == 0, 0).when(F.col("kind") == 3, 2).otherwise(1)
+    return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), times))).drop("kind", "copy")
+
+
+def _sha256_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``role:text`` of the rows of each conversation, which follow each other, joined by line feeds and hashed as they come."""
+    conv, state = None, None
+    for batch in batches:
+        found = []
+        for new, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
+            line = f"{role}:{text}".encode()
+            if state is None or new != conv:
+                if state is not None:
+                    found.append((conv, state.hexdigest()))
+                conv, state = new, hashlib.sha256(line)
+            else:
+                state.update(b"\n" + line)
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.string()))], ["c", "sha"])
+    if state is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([state.hexdigest()])], ["c", "sha"])
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    rows = damaged(conversations)
+    plans = materialise(conversation_repair.plan(rows), "plans")
+    hashes = conversation_repair.apply(rows, plans).mapInArrow(_sha256_of_rows, "c long, sha string")
+    every = conversations.select(F.col("conv_id").alias("id")).distinct()
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return (
+        every.join(plans, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+        .join(hashes, F.col("id").eqNullSafe(F.col("c")), "left")
+        .select(
+            F.col("id").alias("conv_id"), *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in numbers),
+            F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha", F.lit(hashlib.sha256(b"").hexdigest())).alias("repaired_sha256"),
+        )
+    )
+
+
 @F.pandas_udf(T.StringType())
 def _ids_sha256(ids: pd.Series) -> pd.Series:
     """SHA-256 of ids as little-endian unsigned 32-bit integers."""
@@ -82,7 +132,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_mixing, op4_html_blocks, op5_site_quality, op6_minhash_dedup, op7_vector_dedup, op8_language_id, op9_suffix_dedup, op10_nbest_pieces, op12_byte_bpe, op13_fill_middle)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_mixing, op4_html_blocks, op5_site_quality, op6_minhash_dedup, op7_vector_dedup, op8_language_id, op9_suffix_dedup, op10_nbest_pieces, op11_conversation_repair, op12_byte_bpe, op13_fill_middle)}
 #: The general rules of op2 concern files and pages that the default would let pass; their verdict is in the SQL as well.
 ORACLES: dict[str, str] = {
     "op2_url_filters": r"""
