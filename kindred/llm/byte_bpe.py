@@ -44,7 +44,7 @@ NEVER = np.int32(2**31 - 1)
 class Merges:
     """The tokens of a vocabulary, and which two of them make a third."""
 
-    def __init__(self, tokens: list[bytes], remember: int = 500_000, longest: int = 64):
+    def __init__(self, tokens: list[bytes], remember: int = 300_000, longest: int = 64):
         self.tokens, self.remember, self.longest = tokens, remember, longest
         self.ids = {token: i for i, token in enumerate(tokens) if token}
         if any(bytes([b]) not in self.ids for b in range(256)):
@@ -58,13 +58,14 @@ class Merges:
                     self.pairs[left << 32 | right] = i
         self.keys = np.array(sorted(self.pairs), np.int64)
         self.made = np.array([self.pairs[k] for k in self.keys.tolist()], np.int32)
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Ids of pieces, as the bytes of 32-bit numbers.
+        self.known: dict[str, bytes] = {}
 
     def encode(self, cut: list[list[str]]) -> list[np.ndarray]:
         """Ids of texts that are cut into pieces."""
         passing = self._learn(set(chain.from_iterable(cut)))
         get = self.known.__getitem__
-        out = [np.array([*chain.from_iterable(map(get, pieces))], np.int32) for pieces in cut]
+        out = [np.frombuffer(b"".join(map(get, pieces)), np.int32) for pieces in cut]
         for piece in passing:
             del self.known[piece]
         return out
@@ -80,7 +81,7 @@ class Merges:
             data = piece.encode()
             whole = self.ids.get(data)
             if whole is not None:
-                self.known[piece] = (whole,)
+                self.known[piece] = np.int32(whole).tobytes()
             elif len(data) <= self.longest:
                 short.append((len(data), piece, data))
             else:
@@ -101,7 +102,7 @@ class Merges:
         place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[place] == key) & (left >= 0) & (right >= 0), self.made[place], NEVER)
 
-    def _together(self, words: list[bytes]) -> Iterator[tuple[int, ...]]:
+    def _together(self, words: list[bytes]) -> Iterator[bytes]:
         size = len(words[-1])
         lengths = np.array([len(w) for w in words])
         ids = np.full((len(words), size + 1), -1, np.int32)
@@ -131,11 +132,11 @@ class Merges:
             before = first > 0
             left = first[before] - 1
             ranks[every[before], left] = self._rank(ids[every[before], left], best[before])
-        counts = (out >= 0).sum(axis=1)
-        for found, n in zip(out.tolist(), counts.tolist()):
-            yield tuple(found[:n])
+        data, width = out.tobytes(), 4 * out.shape[1]
+        for row, n in enumerate((out >= 0).sum(axis=1).tolist()):
+            yield data[row * width : row * width + 4 * n]
 
-    def _alone(self, data: bytes) -> tuple[int, ...]:
+    def _alone(self, data: bytes) -> bytes:
         """The same for one long piece: pairs wait in a heap, places are chained."""
         ids: list[int] = self.byte_id[np.frombuffer(data, np.uint8)].tolist()
         n, get = len(ids), self.pairs.get
@@ -157,7 +158,7 @@ class Merges:
             h = before[i]
             if h >= 0 and (new := get(ids[h] << 32 | made)) is not None:
                 heapq.heappush(queue, (new, h))
-        return tuple(i for i in ids if i >= 0)
+        return np.array([i for i in ids if i >= 0], np.int32).tobytes()
 
 
 _loaded: dict[str, Merges] = {}
@@ -324,13 +325,9 @@ def encode(
     return out
 
 
-def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """All columns and ``data``: the bytes of the tokens ``ids``, one after the other; null stays null.
-
-    An id without a token is an error.
-    """
-    shared = _share(encoded.sparkSession, vocabulary)
-    schema = T.StructType([f for f in encoded.schema if f.name != "data"] + [T.StructField("data", T.BinaryType())])
+def decoder(spark: SparkSession, vocabulary: str = VOCABULARY) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What ``decode`` does to record batches, to be joined with other steps of one task."""
+    shared = _share(spark, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, tokens = shared.value
@@ -347,4 +344,13 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             columns = {name: batch.column(name) for name in batch.schema.names if name != "data"}
             yield pa.RecordBatch.from_pydict({**columns, "data": pa.array(data, pa.binary())})
 
-    return encoded.mapInArrow(run, schema)
+    return run
+
+
+def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """All columns and ``data``: the bytes of the tokens ``ids``, one after the other; null stays null.
+
+    An id without a token is an error.
+    """
+    schema = T.StructType([f for f in encoded.schema if f.name != "data"] + [T.StructField("data", T.BinaryType())])
+    return encoded.mapInArrow(decoder(encoded.sparkSession, vocabulary), schema)

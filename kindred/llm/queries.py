@@ -5,11 +5,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kindred.llm import byte_bpe, conversation_repair, fill_middle, html_blocks, language_id, minhash_dedup, mixing, nbest_pieces, quality_rules, site_quality, suffix_dedup, url_filters, vector_dedup
 from kindred.llm.common import table
@@ -111,17 +109,19 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.StringType())
-def _ids_sha256(ids: pd.Series) -> pd.Series:
-    """SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    return ids.map(lambda found: hashlib.sha256(found.astype("<u4").tobytes()).hexdigest())
-
-
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
-    return decoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), _ids_sha256("ids").alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256")
-    )
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"))
+    decoder = byte_bpe.decoder(spark)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Both hashes, in the task that decodes: ids as little-endian unsigned 32-bit integers."""
+        for batch in decoder(batches):
+            ids = [hashlib.sha256(found.values.to_numpy().astype("<u4").tobytes()).hexdigest() for found in batch.column("ids")]
+            data = [hashlib.sha256(found.as_buffer()).hexdigest() for found in batch.column("data")]
+            columns = [batch.column("doc_id"), batch.column("ids").value_lengths().cast(pa.int64()), pa.array(ids), pa.array(data)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encoded.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
