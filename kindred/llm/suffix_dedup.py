@@ -113,13 +113,11 @@ def _scan(docs: DataFrame, spec: Repeats) -> DataFrame:
             heads = _heads(data, place)
             cut = np.searchsorted(owner, np.arange(len(part) + 1))
             lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x.astype(np.int64))) for x in (kmer.view(np.int64), heads, place - offsets[owner])]
-            same = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(same, pa.binary()), *lists],
-                ["doc_id", "n_bytes", "same", "kmers", "heads", "places"],
+                [part.column("doc_id"), part.column("same"), pa.array(np.diff(offsets)), *lists], ["doc_id", "same", "n_bytes", "kmers", "heads", "places"]
             )
 
-    return docs.mapInArrow(scan, "doc_id long, n_bytes long, same binary, kmers array<long>, heads array<long>, places array<long>")
+    return docs.mapInArrow(scan, "doc_id long, same binary, n_bytes long, kmers array<long>, heads array<long>, places array<long>")
 
 
 def front_code(texts: list[bytes]) -> tuple[list[int], list[bytes]]:
@@ -201,16 +199,46 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[in
     return order, prefixes
 
 
-def _runs(texts: DataFrame, splits: np.ndarray, spec: Repeats) -> DataFrame:
+@dataclass(frozen=True)
+class Ranges:
+    """Key ranges of suffixes: between ``splits`` of their first bytes. A head that alone overfills a
+    range has several of its own, by the hash of the k-mer: only equal k-mers must meet."""
+
+    splits: np.ndarray
+    full: np.ndarray
+    parts: np.ndarray
+
+    def of(self, heads: np.ndarray, kmers: np.ndarray) -> np.ndarray:
+        out = np.searchsorted(self.splits, heads, "right")
+        if len(self.full):
+            at = np.minimum(np.searchsorted(self.full, heads), len(self.full) - 1)
+            begins = len(self.splits) + 1 + np.cumsum(self.parts) - self.parts
+            own = begins[at] + (mix64(kmers) % self.parts[at].astype(np.uint64)).astype(np.int64)
+            out = np.where(self.full[at] == heads, own, out)
+        return out
+
+
+def _ranges(repeated: DataFrame, rows: int, spec: Repeats) -> Ranges:
+    """Ranges of about ``range_rows`` suffixes. Their number, which is what the driver learns, is the rows' divided by that."""
+    ranges = max(1, -(-rows // spec.range_rows))
+    if ranges == 1:
+        return Ranges(*(np.zeros(0, np.int64),) * 3)
+    cuts = repeated.agg(F.percentile_approx("heads", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
+    heads = repeated.groupBy("heads").agg(F.count("*").alias("n")).where(F.col("n") > spec.range_rows).orderBy("heads").collect()
+    full = np.array([r.heads for r in heads], np.int64)
+    return Ranges(np.unique(np.array(cuts or [], np.int64)), full, np.array([-(-r.n // spec.range_rows) for r in heads], np.int64))
+
+
+def _runs(texts: DataFrame, ranges: Ranges, spec: Repeats) -> DataFrame:
     """Sorted, front-coded runs of suffixes, one row per key range and run."""
-    names = ["range", "shared", "sizes", "rest", "lefts", "left", "doc_ids", "places", "spans"]
+    names = ["range", "shared", "sizes", "rest", "lefts", "left", "rows", "places", "spans"]
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ranges: dict[int, list[tuple]] = {}
+        found: dict[int, list[tuple]] = {}
         for item in held:
-            ranges.setdefault(item[0], []).append(item)
+            found.setdefault(item[0], []).append(item)
         rows = []
-        for key, items in ranges.items():
+        for key, items in found.items():
             items.sort(key=lambda x: x[1])
             shared, rest = front_code([x[1] for x in items])
             pack = lambda values, kind: np.array(values, kind).tobytes()
@@ -226,9 +254,9 @@ def _runs(texts: DataFrame, splits: np.ndarray, spec: Repeats) -> DataFrame:
         held, size = [], 0
         for part in slices(batches, "text"):
             data, offsets = text_bytes(part.column("text"))
-            raw, ids = data.tobytes(), part.column("doc_id").to_pylist()
-            for d, place, first, last in _wanted(part, data, offsets, spec, "places"):
-                keys = np.searchsorted(splits, _heads(data, place), "right")
+            raw, ids = data.tobytes(), part.column("row").to_pylist()
+            for d, place, first, last, kmers in _wanted(part, data, offsets, spec, "places"):
+                keys = ranges.of(_heads(data, place), kmers)
                 for key, p, f, e in zip(keys.tolist(), place.tolist(), first.tolist(), last.tolist()):
                     held.append((key, raw[p : e + spec.length], raw[f:p], ids[d], p - int(offsets[d]), p - e))
                     size += e - f + spec.length
@@ -240,33 +268,33 @@ def _runs(texts: DataFrame, splits: np.ndarray, spec: Repeats) -> DataFrame:
 
     def hot_windows(part, data, offsets, ids) -> Iterator[pa.RecordBatch]:
         """Windows of frequent k-mers, not sorted: hashes, texts and begins under range -1."""
-        for d, _, first, last in _wanted(part, data, offsets, spec, "hot"):
+        for d, _, first, last, _ in _wanted(part, data, offsets, spec, "hot"):
             begin = int(offsets[d])
             starts = np.concatenate([np.arange(f, e + 1) for f, e in zip(first, last)]) - begin
             hashes = _hashes(_prefix_hashes(data[begin : offsets[d + 1]]), starts, spec.length)
-            row = {n: b"" for n in names} | {"shared": hashes.tobytes(), "doc_ids": np.full(len(starts), ids[d]).tobytes(), "places": starts.tobytes()}
+            row = {n: b"" for n in names} | {"shared": hashes.tobytes(), "rows": np.full(len(starts), ids[d]).tobytes(), "places": starts.tobytes()}
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), *(pa.array([row[n]], pa.binary()) for n in names[1:])], names)
 
-    return texts.select("doc_id", "text", "places", "hot").mapInArrow(run, ", ".join(f"{n} {'long' if n == 'range' else 'binary'}" for n in names))
+    return texts.select("row", "text", "places", "hot").mapInArrow(run, ", ".join(f"{n} {'long' if n == 'range' else 'binary'}" for n in names))
 
 
 def _wanted(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, spec: Repeats, column: str):
-    """Per text the listed anchors with their windows: text number, place, first and last start."""
+    """Per text the listed anchors with their windows: text number, place, first and last start, k-mer."""
     found = [*anchors(data, offsets, spec)]
     if not found:
         return
-    place, first, last = (np.concatenate([f[i] for f in found]) for i in range(3))
+    place, first, last, kmers = (np.concatenate([f[i] for f in found]) for i in range(4))
     owner = np.searchsorted(offsets, first, "right") - 1
     bounds = np.searchsorted(owner, np.arange(len(part) + 1))
     for d, listed in enumerate(part.column(column)):
         if listed.as_py():
             a, b = bounds[d], bounds[d + 1]
             use = np.isin(place[a:b] - offsets[d], listed.values.to_numpy())
-            yield d, place[a:b][use], first[a:b][use], last[a:b][use]
+            yield d, place[a:b][use], first[a:b][use], last[a:b][use], kmers[a:b][use]
 
 
 def _merged_spans(columns: list[pa.Array], spec: Repeats):
-    """Repeated spans ``doc_id, begin, end`` of one key range."""
+    """Repeated spans ``row, begin, end`` of one key range."""
     runs, lefts, info = [], [], []
     for _, shared, sizes, rest, left_sizes, left, ids, places, spans in zip(*(c.to_pylist() for c in columns)):
         shared, sizes = np.frombuffer(shared, np.uint16).tolist(), np.frombuffer(sizes, np.uint16).tolist()
@@ -328,43 +356,64 @@ def _hot_spans(runs: DataFrame, spec: Repeats) -> DataFrame:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in zip(*(batch.column(c).to_pylist() for c in ("shared", "doc_ids", "places"))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in part], ["window", "doc_id", "begin"])
+            for part in zip(*(batch.column(c).to_pylist() for c in ("shared", "rows", "places"))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in part], ["window", "row", "begin"])
 
-    rows = runs.where("range < 0").mapInArrow(unpack, "window long, doc_id long, begin long")
+    rows = runs.where("range < 0").mapInArrow(unpack, "window long, row long, begin long")
     often = materialise(rows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1"), "often-windows")
-    return rows.join(often, "window").select("doc_id", "begin", (F.col("begin") + spec.length).alias("end"))
+    return rows.join(often, "window").select("row", "begin", (F.col("begin") + spec.length).alias("end"))
+
+
+def _identified(docs: DataFrame, *columns: str) -> DataFrame:
+    """Rows with ``same``, a digest of the text by which texts are told apart, whatever their ids."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("same"), *columns)
+
+
+def _here(left: str, right: str):
+    """Rows with equal ids (or both without one) and equal texts."""
+    return F.col(f"{left}doc_id").eqNullSafe(F.col(f"{right}doc_id")) & (F.col(f"{left}same") == F.col(f"{right}same"))
 
 
 def repeated_spans(docs: DataFrame, spec: Repeats) -> DataFrame:
-    """``doc_id, spans``: the repeated spans of every document that has some, as ``begin, end`` in bytes, unsorted."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    scanned = materialise(_scan(docs, spec), "anchors")
-    copies = materialise(scanned.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "copies")
-    whole = scanned.where(F.col("n_bytes") >= spec.length).select("same", "doc_id", "n_bytes").join(copies.where("copies > 1").select("same"), "same")
-    whole = whole.select("doc_id", F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end"))
-    places = scanned.join(copies.select("doc_id", F.col("same").alias("_same")), "doc_id").where("same = _same")
-    places = places.select("doc_id", F.explode(F.arrays_zip("kmers", "heads", "places")).alias("x")).select("doc_id", "x.*")
+    """``_doc_id, _same, spans``: for every different pair of id and text that has some, its repeated spans as ``begin, end`` in bytes, unsorted.
+
+    A text is searched once, through one of its rows; a text with copies is
+    repeated as a whole.
+    """
+    docs = _identified(docs, "text")
+    scanned = materialise(_scan(docs, spec).withColumn("row", F.monotonically_increasing_id()), "anchors")
+    copies = scanned.groupBy("same").agg(
+        F.min(F.struct("row", "doc_id")).alias("r"), F.count("*").alias("copies"), F.min("n_bytes").alias("n_bytes")
+    )
+    copies = materialise(copies.select("same", "r.row", "r.doc_id", "copies", "n_bytes"), "copies")
+    several = copies.where((F.col("copies") > 1) & (F.col("n_bytes") >= spec.length)).select("same")
+    whole = scanned.join(several, "same").select("doc_id", "same", F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end")).distinct()
+    places = scanned.join(copies.select("row"), "row", "left_semi")
+    places = places.select("row", F.explode(F.arrays_zip("kmers", "heads", "places")).alias("x")).select("row", "x.*")
     # a table of its own: then both sides of the join are shuffled as they are, and AQE splits a very common k-mer
     often = materialise(places.groupBy("kmers").agg(F.count("*").alias("n")).where("n > 1"), "often")
-    repeated = materialise(places.join(often, "kmers").select("doc_id", "heads", "places", "n"), "repeated")
+    repeated = materialise(places.join(often, "kmers").select("row", "heads", "places", "n"), "repeated")
     hot = F.col("n") > spec.hot_rows
     n, any_hot = repeated.agg(F.count("*"), F.max(hot)).first()
-    if not n:
-        return whole.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    ranges = max(1, -(-n // spec.range_rows))
-    cuts = repeated.where(~hot).agg(F.percentile_approx("heads", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else []
-    wanted = repeated.groupBy("doc_id").agg(
-        F.collect_list(F.when(~hot, F.col("places"))).alias("places"), F.collect_list(F.when(hot, F.col("places"))).alias("hot")
-    )
-    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id")
-    runs = _runs(texts, np.array(cuts or [], np.int64), spec)
-    runs = materialise(runs, "runs") if any_hot else runs
-    spans = by_key(runs.where("range >= 0"), "range", lambda c: _merged_spans(c, spec), "doc_id long, begin long, end long")
-    spans = spans.union(whole)
-    if any_hot:
-        spans = spans.union(_hot_spans(runs, spec))
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = whole
+    if n:
+        ranges = _ranges(repeated.where(~hot), n, spec)
+        wanted = repeated.groupBy("row").agg(
+            F.collect_list(F.when(~hot, F.col("places"))).alias("places"), F.collect_list(F.when(hot, F.col("places"))).alias("hot")
+        )
+        chosen = wanted.join(copies, "row").select("row", F.col("doc_id").alias("_doc_id"), F.col("same").alias("_same"), "places", "hot")
+        texts = docs.join(chosen.hint("shuffle_hash"), _here("", "_")).select("row", "text", "places", "hot")
+        if not scanned.groupBy("doc_id", "same").count().where("count > 1").isEmpty():
+            # rows that repeat id and text would all stand for the text
+            texts = texts.groupBy("row").agg(*(F.first(c).alias(c) for c in ("text", "places", "hot")))
+        runs = _runs(texts, ranges, spec)
+        runs = materialise(runs, "runs") if any_hot else runs
+        found = by_key(runs.where("range >= 0"), "range", lambda c: _merged_spans(c, spec), "row long, begin long, end long")
+        if any_hot:
+            found = found.union(_hot_spans(runs, spec))
+        spans = spans.unionByName(found.join(copies.where("copies = 1").select("row", "doc_id", "same"), "row").drop("row"))
+    spans = spans.select(F.col("doc_id").alias("_doc_id"), F.col("same").alias("_same"), "begin", "end")
+    return spans.groupBy("_doc_id", "_same").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
 def _removed(spans, size: int) -> list[tuple[int, int]]:
@@ -389,13 +438,11 @@ def report(docs: DataFrame, spec: Repeats = Repeats()) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` per row.
 
     A null or empty text has no bytes and keeps none. Texts shorter than a window
-    lose nothing. Equal texts repeat each other in full. A row without ``doc_id``
-    is neither searched nor cut. Rows that repeat a ``doc_id`` are each counted as a
-    text; if their texts differ, the spans found in either apply to both.
+    lose nothing. Equal texts repeat each other in full. Rows without ``doc_id``,
+    or with one that other rows have too, are searched and counted like all others.
     An empty table gives none; other columns are ignored.
     """
-    spans = repeated_spans(docs, spec).withColumnRenamed("doc_id", "_id")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left")
+    rows = _identified(docs, "text").join(repeated_spans(docs, spec).hint("shuffle_hash"), _here("", "_"), "left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -420,9 +467,10 @@ def cut_repeats(docs: DataFrame, spec: Repeats = Repeats()) -> DataFrame:
     is one, follows the text. A text that is repeated as a whole becomes empty;
     null stays null.
     """
-    spans = repeated_spans(docs, spec).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    rows = docs.join(spans.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__id"), "left")
     names = docs.columns
+    spans = repeated_spans(docs, spec).select(F.col("_doc_id").alias("__r_doc_id"), F.col("_same").alias("__r_same"), F.col("spans").alias("__spans"))
+    keys = _identified(docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("r"), "doc_id", "text"), "r")
+    rows = keys.select(F.col("doc_id").alias("__l_doc_id"), F.col("same").alias("__l_same"), "r").join(spans.hint("shuffle_hash"), _here("__l_", "__r_"), "left")
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,4 +484,4 @@ def cut_repeats(docs: DataFrame, spec: Repeats = Repeats()) -> DataFrame:
                 columns[chars] = pa.array([None if t is None else len(t) for t in texts], columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.select(*(F.col(f"`{c}`") for c in names), "__spans").mapInArrow(cut, docs.schema)
+    return rows.select(*(F.col("r").getField(c).alias(c) for c in names), "__spans").mapInArrow(cut, docs.schema)

@@ -41,6 +41,40 @@ def test_equals_brute_force(spark, spec):
     assert {r[0]: tuple(r[1:]) for r in got} == brute(rows)
 
 
+def test_ids_do_not_matter(spark):
+    """Ids that repeat with other texts, null ids and repeated rows: every row is judged by its text."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, other = text(300), text(600)
+    texts = [text(50) + passage, other, passage + text(20), text(500), "q" + passage + text(250), text(700), text(900), text(230), "tiny", None]
+    ids = [1, 1, None, None, 2, 3, 3, 2, None, 1]
+    rows = [*zip(ids, texts), (5, texts[5]), (3, texts[5]), (7, texts[6]), (7, texts[6]), (None, texts[7]), (None, texts[7]), (None, None)]
+    numbered = brute(list(enumerate(t for _, t in rows)))
+    want = Counter((i, *numbered[n]) for n, (i, _) in enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for spec in (sd.Repeats(), sd.Repeats(range_rows=5, hot_rows=4)):
+        assert Counter(tuple(r) for r in sd.report(df, spec).collect()) == want
+        cut = sd.cut_repeats(df, spec).collect()
+        kept = Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in cut)
+        assert kept == Counter((i, numbered[n][3]) for n, (i, _) in enumerate(rows))
+
+
+def test_overfull_heads_are_parted(spark):
+    """Many k-mers with the same first bytes: no range holds them all, and the result is the same."""
+    import numpy as np
+
+    rng = random.Random(4)
+    body = lambda: "".join(rng.choice("abcdefgh") for _ in range(260))
+    shared = [" " * 40 + body() for _ in range(30)]
+    rows = [(i, body() + shared[i % 30] + body()) for i in range(90)]
+    spec = sd.Repeats(range_rows=10, hot_rows=1000)
+    got = sd.report(spark.createDataFrame(rows, "doc_id long, text string"), spec).collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == brute(rows)
+    ranges = sd.Ranges(np.array([5, 9]), np.array([7]), np.array([3]))
+    of = ranges.of(np.array([4, 5, 9, 7, 7, 7, 7, 8]), np.arange(8).astype(np.uint64))
+    assert of[:3].tolist() == [0, 1, 2] and set(of[3:7].tolist()) <= {3, 4, 5} and of[7] == 1
+
+
 def test_cut_keeps_rows_and_columns(spark):
     rng = random.Random(2)
     long = "".join(rng.choice("abcdefgh") for _ in range(400))
