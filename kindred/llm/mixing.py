@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindred.llm.common import WORD_PATTERN
 from kindred.session import materialise
@@ -161,20 +162,45 @@ def plan(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     )
 
 
+def in_training_order(planned: DataFrame) -> DataFrame:
+    """Rows of ``plan`` sorted into ranges by position; what is not taken comes last, ties by id."""
+    position = F.col("position").asc_nulls_last()
+    return planned.repartitionByRange(position, "doc_id").sortWithinPartitions(position, "doc_id")
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each of the rows that agree in id, text and source.
+
+    Equal rows are counted where they are before anything is shuffled. Of rows
+    that differ in other columns, those columns set the order.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    counted = docs.groupBy(*names).agg(F.count("*").alias("__n"))
+    order = [F.col(f"`{f.name}`") for f in docs.drop("text").schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    before = W.partitionBy("doc_id", F.xxhash64("doc_id", "text"), "source").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("__n").over(before), F.lit(0)) + 1
+    return counted.withColumn("__first", first).select(*names, F.explode(F.sequence("__first", F.col("__first") + F.col("__n") - 1)).alias("__copy"))
+
+
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The documents as the mix takes them: a row for every pass, sorted into ranges by position.
 
     The one document at which a source's demand ends is cut after the words
     taken. ``n_chars``, if there is one, follows the text. All columns of ``docs``
-    stay and none is added.
+    stay and none is added. Rows that agree in id, text and source each take
+    passes of their own. An empty table gives none; nulls as in ``plan``.
     """
-    tie = F.xxhash64("doc_id", "text")
-    chosen = plan(docs, mix).where("taken > 0").dropDuplicates(["doc_id", "tie"])
-    chosen = chosen.select("doc_id", F.col("tie").alias("__tie"), F.explode(F.arrays_zip("words", "times")).alias("__pass"), F.col("size").alias("__size"))
+    keys = ["doc_id", "tie", "source"]
+    chosen = materialise(plan(docs, mix).where("taken > 0").select(*keys, "words", "times", "size"), "taken")
+    rows = docs.withColumn("__copy", F.lit(1).cast("long"))
+    chosen_copy = F.lit(1).cast("long")
+    if not chosen.groupBy(*keys).count().where("count > 1").isEmpty():
+        rows, chosen_copy = _copies(docs), F.row_number().over(W.partitionBy(*keys).orderBy(F.col("times")[0])).cast("long")
+    chosen = chosen.withColumn("copy", chosen_copy)
+    chosen = chosen.select(*keys, "copy", F.explode(F.arrays_zip("words", "times")).alias("__pass"), F.col("size").alias("__size"))
     chosen = chosen.where("__pass.words > 0")
-    joined = docs.withColumn("__tie", tie).alias("d").join(
-        chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.__tie") == F.col("c.__tie"))
-    )
+    here = [F.col(f"d.{x}").eqNullSafe(F.col(f"c.{y}")) for x, y in (("doc_id", "doc_id"), ("__tie", "tie"), ("source", "source"), ("__copy", "copy"))]
+    joined = rows.withColumn("__tie", F.xxhash64("doc_id", "text")).alias("d").join(chosen.alias("c"), here)
     words = F.regexp_extract_all(F.col("d.text"), F.lit(r"[\x20\x09-\x0D]*" + WORD_PATTERN), F.lit(0))
     cut = F.when(F.col("__pass.words") >= F.col("__size"), F.col("d.text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("__pass.words").cast("int")), ""))
     out = joined.select("d.*", cut.alias("__text"), "__pass").withColumn("text", F.col("__text"))

@@ -25,7 +25,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.plan(table(spark, sf_dir, "documents"))
+    plan = mixing.in_training_order(mixing.plan(table(spark, sf_dir, "documents")))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "position")
 
 

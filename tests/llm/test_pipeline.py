@@ -21,4 +21,4 @@ def test_stages_and_entry(spark):
     assert {i for i, _ in texts} == {r.doc_id for r in docs.collect()}
     found = entry.queries()
     assert "pipeline" in found and set(queries.QUERIES) <= set(found)
-    assert {int(q[2:].split("_")[0]) for q in queries.QUERIES} == set(range(1, 11))
+    assert {int(q[2:].split("_")[0]) for q in queries.QUERIES} == set(range(1, 14))

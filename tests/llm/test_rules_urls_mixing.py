@@ -126,6 +126,32 @@ def test_mix(spark):
     assert mixing.plan(df.limit(0)).count() == 0 == mixing.mixed(df.limit(0)).count()
 
 
+def test_equal_rows_take_their_own_passes(spark):
+    ten = " ".join("abcdefghij")
+    rows = [(1, ten, "a", i % 2) for i in range(6)] + [(1, ten, "b", 7), (1, "other words", "a", 0), (None, ten, None, 1), (None, ten, None, 1)]
+    rows += [(9, "w " * 30, "c", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    taken = defaultdict(int)
+    for r in mixing.plan(df).collect():
+        taken[r.source] += r.taken
+    out, words = mixing.mixed(df).collect(), defaultdict(int)
+    for r in out:
+        words[r.source] += len(WORD.findall(r.text))
+        assert r.n_chars == len(r.text)
+    assert words == {s: n for s, n in taken.items() if n}
+
+
+def test_order_ascends_over_partitions(spark):
+    df = spark.createDataFrame([(i, "w " * (i % 30), "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = mixing.in_training_order(mixing.plan(df)).select("position", "doc_id").rdd.glom().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    flat = [(r.position is None, r.position or 0, r.doc_id) for part in parts for r in part]
+    assert flat == sorted(flat) and len(flat) == 400 and sum(map(bool, parts)) > 1
+
+
 def test_demand_is_inverted(spark):
     df = spark.range(101).selectExpr("id / 100.0D as u").select("u", *[mixing.demand_time(__import__("pyspark").sql.functions.col("u"), __import__("pyspark").sql.functions.lit(b)).alias(f"t{i}") for i, b in enumerate((-0.5, 0.0, 0.8))])
     for r in df.collect():
