@@ -339,7 +339,8 @@ def image_unit_vec(spark, sf):
 
 
 TOP_PHRASES = "SELECT products AS value, count(*) AS \"count\" FROM catalog WHERE products IS NOT NULL GROUP BY products ORDER BY 2 DESC, 1 LIMIT 80"
-#: Own examples: words of the part names, a mix with an unknown one, and unknown words.
+#: Own examples: known words, a known one that is among the top products as well (and so occurs twice), a mix
+#: with an unknown one, and unknown words.
 EXTRA_PHRASES = ["red steel", "blue", "steel and lamp", "lantern", "oak chair"]
 
 
@@ -354,15 +355,15 @@ def _phrases(spark, sf):
 
 
 PHRASE_CTE = f"""
-, phrases AS (SELECT value AS phrase FROM ({TOP_PHRASES})
-  UNION ALL SELECT unnest({EXTRA_PHRASES!r})),
-phrase_words AS (SELECT phrase, unnest(regexp_split_to_array(phrase, ' and |\\s')) AS word FROM phrases),
-known AS (SELECT phrase FROM phrase_words GROUP BY phrase
+, phrases AS (SELECT phrase, row_number() OVER (ORDER BY phrase) AS n
+  FROM (SELECT value AS phrase FROM ({TOP_PHRASES}) UNION ALL SELECT unnest({EXTRA_PHRASES!r}))),
+phrase_words AS (SELECT phrase, n, unnest(regexp_split_to_array(phrase, ' and |\\s')) AS word FROM phrases),
+known AS (SELECT phrase, n FROM phrase_words GROUP BY phrase, n
   HAVING bool_and(word IN (SELECT word FROM words))),
-phrase_sum AS (SELECT phrase, i, avg(vec[i]) AS s FROM phrase_words JOIN known USING (phrase)
-  JOIN words USING (word), dims GROUP BY phrase, i),
+phrase_sum AS (SELECT phrase, n, i, avg(vec[i]) AS s FROM phrase_words JOIN known USING (phrase, n)
+  JOIN words USING (word), dims GROUP BY phrase, n, i),
 phrase_vecs AS (SELECT phrase, list_transform(list(s ORDER BY i), lambda x: x / sqrt(sum(s * s))) AS vec
-  FROM phrase_sum GROUP BY phrase)
+  FROM phrase_sum GROUP BY phrase, n)
 """
 
 
