@@ -16,11 +16,11 @@ from checks.fixtures import PRELUDE, table, texts
 from kindred.functions import distance as d
 from kindred.functions.distance import Weights
 from kindred.functions.text import clean_text
-from kindred.functions.vectors import l2_normalize
+from kindred.functions.vectors import dot, l2_normalize
 from kindred.functions.wordlists import ENGLISH_STOP_WORDS
 from kindred.operators import catalog as cat
 from kindred.operators import coview as cv
-from kindred.operators import embeddings, quality, terms, titles
+from kindred.operators import embeddings, lsa, quality, terms, titles
 from kindred.operators.neighbours import top_neighbours
 from kindred.operators.ranking import median
 from kindred.plans.evaluate import evaluate_per_query
@@ -627,16 +627,51 @@ def _corpus(spark, sf):
     return _documents(spark, sf).withColumnRenamed("doc_id", "doc")
 
 
+def _stems(spark, sf):
+    return materialise(titles.stemmed_tokens(fx.catalog(spark, sf), stop_words=Model().stems_left_out()), "stems")
+
+
 @query()
 def lsa_vectors(spark, sf):
-    docs = titles.stemmed_tokens(fx.catalog(spark, sf), stop_words=ENGLISH_STOP_WORDS)
-    return elements(titles.lsa_title_vectors(materialise(docs), rank=8), "id", "title_vec")
+    return elements(lsa.lsa_title_vectors(_stems(spark, sf), rank=8), "id", "title_vec")
+
+
+#: With as many directions as there are terms nothing is lost: products of vectors are those of the tf-idf rows.
+#: Every word of the part names has a stem of its own.
+@query("""
+, spelled AS (SELECT id, word, count(*) AS tf FROM (SELECT id, unnest(string_split(title, ' ')) AS word FROM catalog) GROUP BY 1, 2),
+counted AS (SELECT word, count(*) AS df FROM spelled GROUP BY word),
+kept AS (SELECT id, word, tf * (ln((1 + (SELECT count(*) FROM catalog)) / (1 + df)) + 1) AS w
+  FROM spelled JOIN counted USING (word) WHERE df <= 0.9 * (SELECT count(*) FROM catalog)),
+unit AS (SELECT id, word, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM kept),
+asked AS (SELECT * FROM unit WHERE CAST(id AS BIGINT) % 100 = 0)
+SELECT a.id AS x, b.id AS y, round(coalesce(sum(c.w * d.w), 0), 6) + 0.0 AS product
+FROM (SELECT DISTINCT id FROM asked) a CROSS JOIN (SELECT DISTINCT id FROM unit) b
+LEFT JOIN (asked c JOIN unit d USING (word)) ON c.id = a.id AND d.id = b.id GROUP BY 1, 2""")
+def lsa_gram(spark, sf):
+    """Products of the vectors of all titles with those whose id is divisible by 100."""
+    vectors = materialise(lsa.lsa_title_vectors(_stems(spark, sf), rank=16), "lsa-titles")
+    asked = vectors.where(F.col("id").cast("long") % 100 == 0).select(F.col("id").alias("x"), F.col("title_vec").alias("v"))
+    # one query in a hundred, against all
+    pairs = vectors.select(F.col("id").alias("y"), "title_vec").join(asked, F.lit(True))
+    return pairs.select("x", "y", rounded(dot(F.col("v"), F.col("title_vec"))).alias("product"))
+
+
+@query(f"{DOC_TOKENS}, n AS (SELECT count(*) AS n FROM documents), df AS (SELECT word, count(DISTINCT doc_id) AS df FROM occ GROUP BY word) "
+       "SELECT doc_id, 300 AS dims, CASE WHEN bool_or(df <= 0.9 * n) THEN 1.0 ELSE 0.0 END + 0.0 AS norm, "
+       "CAST(count(DISTINCT word) > 0 AS BOOLEAN) AS finite FROM occ JOIN df USING (word), n GROUP BY doc_id", prelude=False)
+def lsa_documents(spark, sf):
+    """Rank 300 on all documents: every document with a term has a unit vector of that length."""
+    docs = materialise(_documents(spark, sf), "lsa-input")
+    vectors = lsa.lsa_title_vectors(docs.where(F.size("tokens") > 0), rank=300, key="doc_id")
+    norm = F.sqrt(dot(F.col("title_vec"), F.col("title_vec")))
+    finite = F.forall("title_vec", lambda x: ~F.isnan(x) & (F.abs(x) <= 1.000001))
+    return vectors.select("doc_id", F.size("title_vec").alias("dims"), rounded(norm).alias("norm"), finite.alias("finite"))
 
 
 @query()
 def lsa_explained_variance(spark, sf):
-    docs = materialise(titles.stemmed_tokens(fx.catalog(spark, sf), stop_words=ENGLISH_STOP_WORDS))
-    return titles.explained_variance(docs, [2, 4, 8])
+    return lsa.explained_variance(_stems(spark, sf), [2, 4, 8, 16])
 
 
 @query()

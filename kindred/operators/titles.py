@@ -1,4 +1,4 @@
-"""Unit vectors for titles, products and phrases from word vectors or LSA."""
+"""Unit vectors for titles, products and phrases from word vectors; stemmed titles."""
 
 from __future__ import annotations
 
@@ -7,14 +7,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.functions.stemming import with_stems
 from kindred.functions.text import clean_text, product_words, word_tokens
 from kindred.functions.vectors import hashed_vector, l2_normalize, scale
-from kindred.operators.terms import document_frequency, phrases_in_vocabulary, tfidf
+from kindred.operators.terms import document_frequency, phrases_in_vocabulary
 from kindred.session import materialise
 
 BROADCAST_BYTES = 256 << 20
@@ -161,78 +161,3 @@ def stemmed_tokens(df: DataFrame, key: str = "id", title: str = "title", stop_wo
     )
     none = F.array().cast("array<string>")
     return df.select(key).join(stemmed, key, "left").select(key, F.coalesce("tokens", none).alias("tokens"))
-
-
-def lsa_projection(docs: DataFrame, rank: int, key: str = "id", max_df: float = 0.9) -> tuple[DataFrame, list[float]]:
-    """Documents on the leading ``rank`` singular directions of their smoothed
-    tf-idf matrix: (``key, projected``), and the singular values."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    spark = docs.sparkSession
-    weights = materialise(tfidf(docs, key, smooth=True, max_df=max_df).select(key, "word", "weight"), "tfidf")
-    terms = weights.groupBy("word").count().select("word")
-    n_terms = terms.count()
-    if rank > n_terms:
-        raise ValueError(f"rank {rank} is larger than the vocabulary of {n_terms} terms")
-    # Spark's SVD keeps terms x rank numbers on the driver: proven small, or refused
-    if n_terms * rank * 8 > (4 << 30):
-        raise ValueError(f"{n_terms} terms x {rank} dimensions are too many; drop rare terms first")
-    # n_terms is bounded by the check above, so one ordered numbering is fine
-    numbered = terms.withColumn("col", F.row_number().over(Window.orderBy("word")) - 1)
-    rows = materialise(
-        weights.join(numbered, "word")
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("col", "weight"))).alias("entries"))
-        .withColumn("row", F.monotonically_increasing_id()),
-        "rows",
-    )
-    sparse = rows.select("row", "entries.col", "entries.weight").rdd.map(
-        lambda r: IndexedRow(r[0], Vectors.sparse(n_terms, r[1], r[2]))
-    )
-    svd = IndexedRowMatrix(sparse).computeSVD(rank, computeU=True)
-    values = [float(x) for x in svd.s]
-    factors = F.array(*[F.lit(x) for x in values])
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("u", T.ArrayType(T.DoubleType()))])
-    left = spark.createDataFrame(svd.U.rows.map(lambda r: (r.index, r.vector.toArray().tolist())), schema)
-    projected = rows.join(left, "row").select(
-        key, F.zip_with("u", factors, lambda u, s: u * s).alias("projected")
-    )
-    return projected, values
-
-
-def lsa_title_vectors(docs: DataFrame, rank: int = 300, key: str = "id", max_df: float = 0.9) -> DataFrame:
-    """``key, title_vec``: unit LSA vectors of ``tokens`` (stems)."""
-    projected, _ = lsa_projection(docs, rank, key, max_df)
-    known = projected.select(key, l2_normalize("projected").alias("title_vec"))
-    zero = F.array_repeat(F.lit(0.0), rank)
-    return docs.select(key).join(known, key, "left").select(key, F.coalesce("title_vec", zero).alias("title_vec"))
-
-
-def explained_variance(docs: DataFrame, ranks: list[int], key: str = "id", max_df: float = 0.9) -> DataFrame:
-    """``rank, explained``: share of the tf-idf variance kept by each rank.
-
-    One decomposition at the largest rank serves every smaller one.
-    """
-    top = max(ranks)
-    projected, _ = lsa_projection(docs, top, key, max_df)
-    weights = tfidf(docs, key, smooth=True, max_df=max_df)
-    n = docs.select(F.count(F.lit(1)).alias("n")).scalar()
-    total = weights.groupBy("word").agg(_variance("weight", n).alias("v")).agg(F.sum("v").alias("v"))
-    kept = (
-        projected.select(F.posexplode("projected").alias("pos", "x"))
-        .groupBy("pos")
-        .agg(_variance("x", n).alias("v"))
-    )
-    sizes = docs.sparkSession.createDataFrame([(r,) for r in ranks], "rank int")
-    return (
-        sizes.join(kept, F.col("pos") < F.col("rank"))
-        .groupBy("rank")
-        .agg((F.sum("v") / total.scalar()).alias("explained"))
-    )
-
-
-def _variance(column: str, n) -> Column:
-    """Population variance over ``n`` rows of which the missing ones are zero."""
-    mean = F.sum(column) / n
-    return F.sum(F.col(column) * F.col(column)) / n - mean * mean

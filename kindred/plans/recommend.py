@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +13,10 @@ from kindred.functions.distance import Weights
 from kindred.functions.vectors import l2_normalize
 from kindred.functions.wordlists import ENGLISH_STOP_WORDS
 from kindred.operators.catalog import join_images, normalise_catalog, require_unique
+from kindred.operators.lsa import lsa_title_vectors
 from kindred.operators.neighbours import top_neighbours
 from kindred.operators.terms import keep_vocabulary_tokens, with_title_tokens
 from kindred.operators.titles import (
-    lsa_title_vectors,
     mean_title_vectors,
     product_vectors,
     stemmed_tokens,
@@ -33,16 +34,25 @@ class Model:
 
     ``method`` is one of :data:`METHODS`; the word methods need a ``words`` table,
     ``dm`` needs ``document_vectors`` (``id, vec``) from
-    :func:`kindred.operators.embeddings.infer_document_vectors`.
+    :func:`kindred.operators.embeddings.infer_document_vectors`. ``lsa`` compares
+    stems and has a stop list of its own, ``lsa_stop_words`` (None: Spark's English list).
     """
 
     weights: Weights = field(default_factory=Weights)
     method: str = "tfidf_word2vec"
     lsa_rank: int = 300
     stop_words: Iterable[str] = tuple(ENGLISH_STOP_WORDS)
+    lsa_stop_words: Iterable[str] | None = None
     null_safe_brand: bool = False
     digits: int = 9
 
+    def stems_left_out(self) -> list[str]:
+        """The stop list of ``lsa``, which is held against stems."""
+        if self.lsa_stop_words is not None:
+            return list(self.lsa_stop_words)
+        # cleaning has removed the apostrophes of the tokens
+        return [word.replace("'", "") for word in StopWordsRemover.loadDefaultStopWords("english")]
+
     @classmethod
     def of(cls, weights: Weights | Mapping[str, float] | None = None, **options) -> "Model":
         return cls(Weights.of(weights), **options)
@@ -78,7 +88,7 @@ def with_features(
     elif model.method == "mean_word2vec":
         titles = mean_title_vectors(products.select("id", "tokens"), words)
     elif model.method == "lsa":
-        titles = lsa_title_vectors(stemmed_tokens(products, stop_words=model.stop_words), model.lsa_rank)
+        titles = lsa_title_vectors(stemmed_tokens(products, stop_words=model.stems_left_out()), model.lsa_rank)
     else:
         _need(document_vectors, "document_vectors", model.method)
         titles = document_vectors.select("id", l2_normalize("vec").alias("title_vec"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import terms, titles
+from kindred.operators import lsa, terms, titles
 from kindred.operators.quality import weighted_document_vectors
 
 WORDS = [("sofa", [1.0, 0.0]), ("bed", [0.0, 1.0]), ("red", [1.0, 1.0])]
@@ -84,15 +84,40 @@ def test_lsa_equals_dense_svd(spark):
     want = u[:, :4] * s[:4]
     norms = np.linalg.norm(want, axis=1, keepdims=True)
     want = np.divide(want, norms, out=np.zeros_like(want), where=norms > 1e-12)
-    got = dict(titles.lsa_title_vectors(docs, 4).collect())
-    got = np.array([got[i] for i in ids])
-    assert np.allclose(got @ got.T, want @ want.T, atol=1e-6)
-    explained = dict(titles.explained_variance(docs, [2, 4]).collect())
+    # one shard, and shards of a few entries each
+    for shard_bytes in (1 << 29, 8 * 14 * 20):
+        got = dict(lsa.lsa_title_vectors(docs, 4, shard_bytes=shard_bytes).collect())
+        got = np.array([got[i] for i in ids])
+        assert np.allclose(got @ got.T, want @ want.T, atol=1e-6)
+    explained = dict(lsa.explained_variance(docs, [2, 4]).collect())
     projected = u * s
     share = lambda k: projected[:, :k].var(axis=0).sum() / dense.var(axis=0).sum()
     assert explained[2] == pytest.approx(share(2)) and explained[4] == pytest.approx(share(4))
     with pytest.raises(ValueError, match="vocabulary"):
-        titles.lsa_title_vectors(docs, 300)
+        lsa.lsa_title_vectors(docs, 300)
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 29, 8 * 15 * 400])
+def test_lsa_of_a_large_vocabulary(spark, shard_bytes):
+    """More terms and documents than directions; values, products, and the same on any partitioning."""
+    rng = np.random.default_rng(5)
+    topics = rng.dirichlet(np.full(400, 0.05), 6)
+    rows = [(i, [f"w{j}" for j in rng.choice(400, 30, p=0.9 * topics[i % 6] + 0.1 / 400)] + [f"own{i}"]) for i in range(150)]
+    docs = spark.createDataFrame(rows, "id long, tokens array<string>")
+    weights = terms.tfidf(docs, smooth=True, max_df=0.9).collect()
+    names = {w: k for k, w in enumerate(sorted({w.word for w in weights}))}
+    dense = np.zeros((150, len(names)))
+    for w in weights:
+        dense[w.id, names[w.word]] = w.weight
+    u, s, _ = np.linalg.svd(dense, full_matrices=False)
+    runs = []
+    for n in (1, 5) if shard_bytes < 1 << 29 else (3,):
+        projected, values = lsa.lsa_projection(docs.repartition(n), 5, iterations=6, shard_bytes=shard_bytes)
+        assert np.allclose(values, s[:5], rtol=1e-5)
+        got = dict(projected.collect())
+        runs.append(np.array([got[i] for i in range(150)]))
+        assert np.allclose(runs[-1] @ runs[-1].T, (u[:, :5] * s[:5] ** 2) @ u[:, :5].T, atol=1e-3)
+    assert np.allclose(runs[0], runs[-1], atol=1e-9)
 
 
 def test_stemmed_tokens(spark):
