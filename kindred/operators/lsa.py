@@ -25,7 +25,9 @@ from kindred.operators.terms import tfidf
 from kindred.session import materialise
 
 #: Entries that are multiplied at once, rows of a record, and triangular factors that are joined at once.
-CHUNK, RECORD, FAN = 1 << 9, 1 << 12, 16
+CHUNK, RECORD, FAN = 1 << 9, 1 << 9, 16
+#: Bytes of the sums of shared terms that one task adds up.
+BLOCK_BYTES = 1 << 26
 #: Directions weaker than this share of the strongest are noise of the arithmetic.
 NOISE = 1e-11
 
@@ -110,8 +112,8 @@ def _step(width: int, blocks: int, seed: int, turn: np.ndarray | None) -> Callab
             out.append(_record(shard, "y", y[i : i + RECORD], names[i : i + RECORD], local=local[i : i + RECORD]))
         block = ids.view(np.uint64) % np.uint64(blocks)
         for b in np.unique(block[shared]).tolist():
-            here = shared & (block == b)
-            out.append(_record(shard, "p", products[here], ids[here], b))
+            here = np.flatnonzero(shared & (block == b))
+            out += [_record(shard, "p", products[h], ids[h], b) for h in (here[i : i + RECORD] for i in range(0, len(here), RECORD))]
         return pa.Table.from_pylist(out, _KINDS)
 
     return run
@@ -202,7 +204,7 @@ def _sharded(weights: DataFrame, key: str, shard_entries: int) -> tuple[DataFram
 
 def lsa_projection(
     docs: DataFrame, rank: int, key: str = "id", max_df: float = 0.9,
-    iterations: int = 5, oversample: int = 10, seed: int = 7, shard_bytes: int = 1 << 29,
+    iterations: int = 5, oversample: int = 10, seed: int = 7, shard_bytes: int = 1 << 28,
 ) -> tuple[DataFrame, list[float]]:
     """Documents on the leading ``rank`` singular directions of their smoothed
     tf-idf matrix: (``key, projected``), and the singular values.
@@ -220,7 +222,7 @@ def lsa_projection(
     rows, shards, n_terms, pairs = _sharded(weights, key, max(1, shard_bytes // (8 * width)))
     if rank > n_terms:
         raise ValueError(f"rank {rank} is larger than the vocabulary of {n_terms} terms")
-    blocks = max(1, -(-pairs * 8 * width // shard_bytes))
+    blocks = max(1, -(-pairs * 8 * width // min(BLOCK_BYTES, shard_bytes)))
     static = rows.select("shard", "row", "terms", "weights", "shared")
     state, turn = rows.sparkSession.createDataFrame([], RECORDS), None
     for _ in range(iterations + 1):

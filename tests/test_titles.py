@@ -85,7 +85,7 @@ def test_lsa_equals_dense_svd(spark):
     norms = np.linalg.norm(want, axis=1, keepdims=True)
     want = np.divide(want, norms, out=np.zeros_like(want), where=norms > 1e-12)
     # one shard, and shards of a few entries each
-    for shard_bytes in (1 << 29, 8 * 14 * 20):
+    for shard_bytes in (1 << 28, 8 * 14 * 20):
         got = dict(lsa.lsa_title_vectors(docs, 4, shard_bytes=shard_bytes).collect())
         got = np.array([got[i] for i in ids])
         assert np.allclose(got @ got.T, want @ want.T, atol=1e-6)
@@ -97,7 +97,7 @@ def test_lsa_equals_dense_svd(spark):
         lsa.lsa_title_vectors(docs, 300)
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 29, 8 * 15 * 400])
+@pytest.mark.parametrize("shard_bytes", [1 << 28, 8 * 15 * 400])
 def test_lsa_of_a_large_vocabulary(spark, shard_bytes):
     """More terms and documents than directions; values, products, and the same on any partitioning."""
     rng = np.random.default_rng(5)
@@ -111,7 +111,7 @@ def test_lsa_of_a_large_vocabulary(spark, shard_bytes):
         dense[w.id, names[w.word]] = w.weight
     u, s, _ = np.linalg.svd(dense, full_matrices=False)
     runs = []
-    for n in (1, 5) if shard_bytes < 1 << 29 else (3,):
+    for n in (1, 5) if shard_bytes < 1 << 28 else (3,):
         projected, values = lsa.lsa_projection(docs.repartition(n), 5, iterations=6, shard_bytes=shard_bytes)
         assert np.allclose(values, s[:5], rtol=1e-5)
         got = dict(projected.collect())
