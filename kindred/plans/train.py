@@ -22,12 +22,12 @@ def train(
 ) -> dict[str, str]:
     """Train and save the three models of a corpus ``doc, tokens``.
 
-    Two word tables differ in their window; the document model also learns from
+    The second word table also learns word n-grams of up to three words; the document model also learns from
     ``titles`` when given (with a window of 5). Returns the written paths.
     """
     paths = {name: f"{output.rstrip('/')}/{name}" for name in ("words", "phrase_words", "documents", "document_words")}
     write_snapshot(train_word_vectors(corpus, dim, word_window, min_count, seed), paths["words"])
-    write_snapshot(train_word_vectors(corpus, dim, phrase_window, min_count, seed), paths["phrase_words"])
+    write_snapshot(train_word_vectors(corpus, dim, phrase_window, min_count, seed, ngrams=3), paths["phrase_words"])
     if titles is not None:
         corpus, document_window = tagged_corpus(c=corpus, t=titles), 5
     documents, words = train_document_vectors(corpus, dim, document_window, min_count, epochs, seed=seed)

@@ -17,7 +17,7 @@ def corpus(spark):
 
 
 def test_word_vectors(corpus):
-    words = e.train_word_vectors(corpus, dim=8, epochs=2, partitions=2)
+    words = e.train_word_vectors(corpus, dim=8, epochs=2)
     rows = dict(words.collect())
     assert set(rows) == {f"{t}{i}" for t in ("bed", "sofa") for i in range(20)}
     assert all(len(v) == 8 for v in rows.values())
@@ -37,6 +37,14 @@ def test_document_vectors_follow_topics_and_repeat(corpus):
     assert all(np.allclose(inferred[0][k], again[k]) for k in vecs)
 
 
+def test_infer_alone_equals_batch(corpus):
+    _, words = e.train_document_vectors(corpus, dim=8, epochs=2, alpha=0.1, shard_tokens=800)
+    batch = dict(e.infer_document_vectors(corpus, words, shard_tokens=300).collect())
+    for doc in ("d3", "d17", "none"):
+        alone = dict(e.infer_document_vectors(corpus.where(f"doc = '{doc}'"), words).collect())
+        assert list(alone) == [doc] and alone[doc] == batch[doc]
+
+
 def test_tagged_corpus(corpus):
     both = e.tagged_corpus(c=corpus, t=corpus)
     assert both.count() == 2 * corpus.count() and both.select("doc").distinct().count() == both.count()
