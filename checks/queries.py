@@ -685,6 +685,36 @@ def word2vec_train(spark, sf):
     return elements(embeddings.train_word_vectors(materialise(_corpus(spark, sf)), dim=16, epochs=2), "word", "vec")
 
 
+def _checked(vectors: DataFrame, key: str, column: str = "vec") -> DataFrame:
+    """What must hold of vectors whatever was learned: one per key, their length, no missing numbers."""
+    finite = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e6))
+    return vectors.select(key, F.size(column).alias("dims"), finite.alias("finite"))
+
+
+FREQUENT_WORDS = f"{DOC_TOKENS} SELECT word, 16 AS dims, true AS finite FROM occ GROUP BY word HAVING count(*) >= 5"
+
+
+@query(FREQUENT_WORDS, prelude=False)
+def word2vec_words(spark, sf):
+    return _checked(embeddings.train_word_vectors(materialise(_corpus(spark, sf)), dim=16, epochs=1), "word")
+
+
+@query(FREQUENT_WORDS, prelude=False)
+def ngram_words(spark, sf):
+    """Words learned next to word n-grams of up to three words."""
+    return _checked(embeddings.train_word_vectors(materialise(_corpus(spark, sf)), dim=16, window=5, epochs=1, ngrams=3), "word")
+
+
+@query("SELECT doc_id AS doc, true AS same FROM documents WHERE doc_id % 100 = 0", prelude=False)
+def infer_alone(spark, sf):
+    """Vectors inferred for one document in a hundred by themselves are those inferred with all others."""
+    corpus = materialise(_corpus(spark, sf))
+    _, words = embeddings.train_document_vectors(corpus, dim=16, epochs=1)
+    every = embeddings.infer_document_vectors(corpus, words, epochs=2)
+    alone = embeddings.infer_document_vectors(corpus.where("doc % 100 = 0"), words, epochs=2)
+    return every.join(alone.withColumnRenamed("vec", "own"), "doc").select("doc", (F.col("vec") == F.col("own")).alias("same"))
+
+
 @query()
 def pvdm_train(spark, sf):
     docs, _ = embeddings.train_document_vectors(materialise(_corpus(spark, sf)), dim=16, epochs=2)
