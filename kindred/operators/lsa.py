@@ -24,10 +24,10 @@ from kindred.functions.vectors import l2_normalize
 from kindred.operators.terms import tfidf
 from kindred.session import materialise
 
-#: Entries that are multiplied at once, rows of a record, and triangular factors that are joined at once.
-CHUNK, RECORD, FAN = 1 << 9, 1 << 9, 16
+#: Entries that are multiplied at once, bytes of a record (files are read some thousand records at a time), and triangular factors that are joined at once.
+CHUNK, RECORD_BYTES, FAN = 1 << 9, 1 << 12, 16
 #: Bytes of the sums of shared terms that one task adds up.
-BLOCK_BYTES = 1 << 26
+BLOCK_BYTES = 1 << 24
 #: Directions weaker than this share of the strongest are noise of the arithmetic.
 NOISE = 1e-11
 
@@ -106,14 +106,14 @@ def _step(width: int, blocks: int, seed: int, turn: np.ndarray | None) -> Callab
         products = summed(at[order], weights[order], doc[order], y, len(ids))
         own, mine = products[~shared], ~shared[at]
         local = summed(doc[mine], weights[mine], (np.cumsum(~shared) - 1)[at[mine]], own, n)
-        shard = left.column("shard")[0].as_py()
+        shard, size = left.column("shard")[0].as_py(), max(1, RECORD_BYTES // (8 * y.shape[1]))
         out = [_record(shard, "g", own.T @ own)]
-        for i in range(0, n, RECORD):
-            out.append(_record(shard, "y", y[i : i + RECORD], names[i : i + RECORD], local=local[i : i + RECORD]))
+        for i in range(0, n, size):
+            out.append(_record(shard, "y", y[i : i + size], names[i : i + size], local=local[i : i + size]))
         block = ids.view(np.uint64) % np.uint64(blocks)
         for b in np.unique(block[shared]).tolist():
             here = np.flatnonzero(shared & (block == b))
-            out += [_record(shard, "p", products[h], ids[h], b) for h in (here[i : i + RECORD] for i in range(0, len(here), RECORD))]
+            out += [_record(shard, "p", products[h], ids[h], b) for h in (here[i : i + size] for i in range(0, len(here), size))]
         return pa.Table.from_pylist(out, _KINDS)
 
     return run
@@ -204,7 +204,7 @@ def _sharded(weights: DataFrame, key: str, shard_entries: int) -> tuple[DataFram
 
 def lsa_projection(
     docs: DataFrame, rank: int, key: str = "id", max_df: float = 0.9,
-    iterations: int = 5, oversample: int = 10, seed: int = 7, shard_bytes: int = 1 << 28,
+    iterations: int = 5, oversample: int = 10, seed: int = 7, shard_bytes: int = 1 << 26,
 ) -> tuple[DataFrame, list[float]]:
     """Documents on the leading ``rank`` singular directions of their smoothed
     tf-idf matrix: (``key, projected``), and the singular values.
