@@ -259,7 +259,7 @@ def _documents(spark, sf):
     prelude=False,
 )
 def title_tokens(spark, sf):
-    return _documents(spark, sf).select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+    return terms.each_token(_documents(spark, sf), "doc_id", places=True).withColumnRenamed("word", "token")
 
 
 @query(f'{DOC_TOKENS} SELECT word, count(*) AS "count" FROM occ GROUP BY word HAVING count(*) >= 5', prelude=False)

@@ -45,32 +45,38 @@ def geometric_cutoff(ini: float = 0.95) -> int:
     return math.floor((math.log(5e-324) - math.log(2)) / math.log(ini)) + 8
 
 
-def median(df: DataFrame, column: str, accuracy: int = 100_000) -> DataFrame:
+def median(df: DataFrame, column: str, accuracy: int = 100_000, max_values: int = 100_000) -> DataFrame:
     """Exact median of the non-null values as a one-row frame ``median``.
 
     A quantile sketch brackets the middle (its rank error is at most
-    ``1 / accuracy``, the bracket is ten times wider). Values below the bracket
-    are only counted, and only the distinct values inside it are ordered: about
-    one row in 5,000 at the default, not the whole column in one buffer.
+    ``1 / accuracy``, the bracket is ten times wider), and the bracket is narrowed
+    by sketches of its own rows until it holds ``max_values`` rows at most or
+    cannot shrink, which is when ties fill it. Values below the bracket are only
+    counted; one task orders the distinct values inside it. Every step is an
+    aggregate with map-side parts, and the driver holds two ends and two counts.
     """
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
     slack = min(0.5, 10 / accuracy)
-    sketch = values.agg(
-        F.percentile_approx("v", [0.5 - slack, 0.5 + slack], accuracy).alias("q"),
+    ends = lambda rows, at: rows.agg(
+        F.percentile_approx("v", [max(0.0, at[0] - slack), min(1.0, at[1] + slack)], accuracy).alias("q"),
         F.count("v").alias("n"),
-    )
-    low, high = (sketch.select(F.element_at("q", i)).scalar() for i in (1, 2))
-    counted = (
-        values.where(F.col("v") <= high)
-        .groupBy(F.when(F.col("v") >= low, F.col("v")).alias("v"))
-        .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("n", sketch.select("n").scalar())
-    )
-    # null v is the count of everything below the bracket and sorts first
-    upto = Window.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.withColumn("last", F.sum("c").over(upto)).withColumn("first", F.col("last") - F.col("c") + 1)
-    holds = lambda place: (F.col("first") <= place) & (place <= F.col("last"))
-    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
-    return placed.agg(
-        ((F.max(F.when(holds(lower), F.col("v"))) + F.max(F.when(holds(upper), F.col("v")))) / 2).alias("median")
-    )
+    ).first()
+    bracket, n = ends(values, (0.5, 0.5))
+    if not n:
+        return values.agg(F.max("v").cast("double").alias("median"))
+    places = (n + 1) // 2, (n + 2) // 2
+    while True:
+        low, high = bracket
+        inside = values.where((F.col("v") >= low) & (F.col("v") <= high))
+        below, held = values.agg(F.count_if(F.col("v") < low), F.count_if((F.col("v") >= low) & (F.col("v") <= high))).first()
+        if held <= max_values or low == high:
+            break
+        narrower, _ = ends(inside, [(place - below) / held for place in places])
+        if narrower == bracket:
+            break
+        bracket = narrower
+    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    counted = inside.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    placed = counted.withColumn("last", F.sum("c").over(upto) + F.lit(below)).withColumn("first", F.col("last") - F.col("c") + 1)
+    at = lambda place: F.max(F.when((F.col("first") <= place) & (place <= F.col("last")), F.col("v")))
+    return placed.agg(((at(F.lit(places[0])) + at(F.lit(places[1]))) / 2).alias("median"))

@@ -7,11 +7,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.text import product_words, title_tokens
 from kindred.functions.wordlists import ENGLISH_STOP_WORDS
+from kindred.session import materialise
 
 BROADCAST_WORDS = 1_000_000
 
@@ -23,10 +24,21 @@ def with_title_tokens(
     return df.withColumn("tokens", title_tokens(F.col(title), stop_words))
 
 
+def each_token(docs: DataFrame, *keys: str, tokens: str | Column = "tokens", places: bool = False) -> DataFrame:
+    """``keys, word`` (``places``: ``keys, pos, word``), one row per token that is not null.
+
+    An inner ``explode`` lets Spark derive a filter on the number of tokens, which
+    is pushed below a repartition with the whole cleaning chain in it: the chain
+    then runs twice. The outer form, cut afterwards, computes tokens once.
+    """
+    word = F.posexplode_outer(tokens).alias("pos", "word") if places else F.explode_outer(tokens).alias("word")
+    return docs.select(*keys, word).where(F.col("word").isNotNull())
+
+
 def vocabulary_tokens(docs: DataFrame, words: DataFrame, key: str = "id") -> DataFrame:
     """``key, tokens`` with only the tokens found in ``words``, order and repeats
     kept. Documents without any such token disappear."""
-    spelled = docs.select(key, F.posexplode("tokens").alias("pos", "word"))
+    spelled = each_token(docs, key, places=True)
     return (
         spelled.join(words.select("word"), "word", "left_semi")
         .groupBy(key)
@@ -73,7 +85,7 @@ def keep_vocabulary_tokens(
 def token_counts(corpus: DataFrame, min_count: int = 1) -> DataFrame:
     """``word, count`` over all tokens, for words seen at least ``min_count`` times."""
     return (
-        corpus.select(F.explode("tokens").alias("word"))
+        each_token(corpus)
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("count"))
         .where(F.col("count") >= min_count)
@@ -84,7 +96,7 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     """``word, df``: documents that contain the word. Repeats inside a document
     are removed in place, so the count needs no distinct shuffle."""
     return (
-        docs.select(F.explode(F.array_distinct("tokens")).alias("word"))
+        each_token(docs, tokens=F.array_distinct("tokens"))
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("df"))
     )
@@ -93,7 +105,7 @@ def document_frequency(docs: DataFrame) -> DataFrame:
 def term_frequency(docs: DataFrame, key: str = "id") -> DataFrame:
     """``key, word, tf``."""
     return (
-        docs.select(key, F.explode("tokens").alias("word"))
+        each_token(docs, key)
         .groupBy(key, "word")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -106,10 +118,14 @@ def tfidf(
 
     Plain: ``tf * log2(N / df)``, terms found in every document dropped.
     ``smooth``: ``tf * (ln((1 + N) / (1 + df)) + 1)``. ``max_df`` drops terms in
-    more than that share of the documents.
+    more than that share of the documents. ``key`` must be unique.
+
+    Tokens are read once: the counts per document are written out, and both the
+    document frequencies and the weights come from there.
     """
     total = docs.select(F.count(F.lit(1)).alias("n")).scalar()
-    counts = document_frequency(docs).withColumn("n", total)
+    found = materialise(term_frequency(docs, key), "term-counts")
+    counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("n", total)
     if max_df is not None:
         counts = counts.where(F.col("df") <= max_df * F.col("n"))
     if smooth:
@@ -117,13 +133,10 @@ def tfidf(
     else:
         idf = F.log2(F.col("n") / F.col("df"))
         counts = counts.where(F.col("df") < F.col("n"))
-    weighted = (
-        term_frequency(docs, key)
-        .join(counts.select("word", "df", idf.alias("idf")), "word")
-        .withColumn("raw", F.col("tf") * F.col("idf"))
-    )
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return weighted.join(norms, key).select(key, "word", "tf", "df", (F.col("raw") / F.col("norm")).alias("weight"))
+    raw = F.col("tf") * F.col("idf")
+    norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(key)))
+    weighted = found.join(counts.select("word", "df", idf.alias("idf")), "word")
+    return weighted.select(key, "word", "tf", "df", (raw / norm).alias("weight"))
 
 
 def top_values(df: DataFrame, column: str, limit: int = 80) -> DataFrame:

@@ -42,6 +42,15 @@ def test_median(spark, n, accuracy):
     assert median(df, "x", accuracy).first()[0] == statistics.median(values)
 
 
+@pytest.mark.parametrize("spread", [1, 40, 10**9])
+def test_median_by_narrowing_brackets(spark, spread):
+    """A bracket far above its bound is narrowed by its own rows; ties that fill it end the search."""
+    rng = random.Random(spread)
+    values = [float(rng.randrange(spread)) for _ in range(20_001)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(4)
+    assert median(df, "x", accuracy=100, max_values=50).first()[0] == statistics.median(values)
+
+
 def test_median_of_nothing(spark):
     assert median(spark.createDataFrame([(None,)], "x double"), "x").first()[0] is None
 
