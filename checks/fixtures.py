@@ -44,6 +44,16 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def catalog_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog with missing titles, brands and categories, and with categories of one product."""
+    n = F.col("id").cast("long")
+    gap = lambda divisor, column: F.when(n % divisor != 0, F.col(column))
+    category = F.when(n % 97 == 1, F.concat(F.lit("only-"), "id")).otherwise(gap(41, "category_id"))
+    return catalog(spark, sf_dir).withColumns(
+        {"title": gap(37, "title"), "brand": gap(5, "brand"), "category_id": category}
+    )
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("prelogits")
@@ -59,6 +69,21 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def part_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(``id, tokens``: the parts each customer ordered; ``word, vec``: all embeddings).
+
+    Parts share the words round robin when there are more of them than vectors.
+    """
+    vectors = table(spark, sf_dir, "embeddings")
+    words = vectors.select(
+        F.concat(F.lit("w"), "vec_id").alias("word"), F.col("embedding").cast("array<double>").alias("vec")
+    )
+    n = vectors.select(F.count(F.lit(1)).alias("n")).scalar()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("w"), F.col("l_partkey") % n).alias("word"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("id"))
+    return lines.join(orders, "l_orderkey").groupBy("id").agg(F.collect_list("word").alias("tokens")), words
+
+
 def coview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order line seen together with the lead product of its order, in both
     directions: two rows per line however large the order."""

@@ -150,10 +150,13 @@ def _as_records(raw: DataFrame) -> DataFrame:
     )
 
 
-@query(
+CATALOG_ROWS = (
     'SELECT id, sku_id, raw.group_id, category_id, title, brand, raw.price_hint, image_url, '
     'c.products, c."parentProducts" FROM raw JOIN catalog c USING (id, sku_id, category_id, title, brand, image_url)'
 )
+
+
+@query(CATALOG_ROWS)
 def catalog_json(spark, sf):
     path = scratch_path(spark, "catalog-json")
     _as_records(fx.catalog(spark, sf)).write.json(path)
@@ -161,6 +164,28 @@ def catalog_json(spark, sf):
     return back.withColumn("price_hint", F.col("price_hint").cast("double"))
 
 
+def _write_arrays(rows: DataFrame, key: str, path: str, rows_per_file: int = 2_000) -> None:
+    """JSON files that hold one array each, of about ``rows_per_file`` records."""
+    files = -(-max(rows.count(), 1) // rows_per_file)
+    file = F.pmod(F.xxhash64(key), F.lit(files)).alias("file")
+    arrays = rows.groupBy(file).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
+@query(CATALOG_ROWS)
+def catalog_json_arrays(spark, sf):
+    path = scratch_path(spark, "catalog-arrays")
+    _write_arrays(_as_records(fx.catalog(spark, sf)), "id", path)
+    return readers.read_catalog(spark, path).withColumn("price_hint", F.col("price_hint").cast("double"))
+
+
+@query(ELEMENTS_SQL.format(key="id", vec="prelogits", source="images"))
+def image_json_arrays(spark, sf):
+    path = scratch_path(spark, "image-arrays")
+    _write_arrays(fx.images(spark, sf), "id", path)
+    return elements(readers.read_image_vectors(spark, path), "id", "prelogits")
+
+
 @query(ELEMENTS_SQL.format(key="id", vec="prelogits", source="images"))
 def image_json(spark, sf):
     path = scratch_path(spark, "image-json")
@@ -206,6 +231,18 @@ def corpus_lines(spark, sf):
     return corpus.select("doc", F.size("tokens").cast("long").alias("n_tokens"))
 
 
+@query(r"""SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (
+  SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')) AS token FROM documents)
+GROUP BY token""", prelude=False)
+def corpus_file(spark, sf):
+    """A corpus of one document per line, through its reader."""
+    path = scratch_path(spark, "corpus")
+    table(spark, sf, "documents").where("text IS NOT NULL").select(F.regexp_replace("text", r"[\r\n]+", " ")).write.text(path)
+    spelled = terms.each_token(readers.read_corpus(spark, path), "doc")
+    per_doc = spelled.groupBy(F.col("word").alias("token"), "doc").agg(F.count(F.lit(1)).alias("n"))
+    return per_doc.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+
+
 # --- text ------------------------------------------------------------------
 
 
@@ -327,6 +364,20 @@ def title_mean_vec(spark, sf):
     return elements(titles.mean_title_vectors(_tokenised(spark, sf), fx.words(spark, sf)), "id", "title_vec")
 
 
+@query("""WITH bought AS (
+  SELECT o_custkey AS id, 'w' || (l_partkey % (SELECT count(*) FROM embeddings)) AS word
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+words AS (SELECT 'w' || vec_id AS word, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+dims AS (SELECT unnest(range(1, (SELECT max(len(vec)) FROM words) + 1)) AS i),
+sums AS (SELECT id, i, avg(vec[i]) AS s FROM bought JOIN words USING (word), dims GROUP BY id, i)
+SELECT id, CAST(i - 1 AS INTEGER) AS dim, round(s / sqrt(sum(s * s) OVER (PARTITION BY id)), 6) + 0.0 AS value
+FROM sums""", prelude=False)
+def mean_vec_all_words(spark, sf):
+    """Mean vectors over a word table with every embedding."""
+    docs, words = fx.part_words(spark, sf)
+    return elements(titles.mean_title_vectors(docs, words), "id", "title_vec")
+
+
 @query(ELEMENTS_SQL.format(key="id", vec="product_vec", source="product_vecs"))
 def product_vec(spark, sf):
     return elements(titles.product_vectors(fx.catalog(spark, sf), fx.words(spark, sf)), "id", "product_vec")
@@ -546,6 +597,51 @@ def topk_titles_only(spark, sf):
     return _recommend(spark, sf, TITLE_ONLY, method="mean_word2vec")
 
 
+@query(topk_sql(
+    ", featured AS (SELECT c.*, title_vec FROM catalog c JOIN mean_vecs USING (id))", TITLE_ONLY, 48, "mean_word2vec"
+))
+def topk_ties_many_tiles(spark, sf):
+    """Ties between copies that lie in different tiles."""
+    rows = max(64, table(spark, sf, "part").count() // 30)
+    return _recommend(spark, sf, TITLE_ONLY, method="mean_word2vec", tile_rows=rows)
+
+
+GAP_FEATURES = """
+, chosen AS (SELECT * REPLACE (
+    CASE WHEN CAST(id AS BIGINT) % 5 <> 0 THEN brand END AS brand,
+    CASE WHEN CAST(id AS BIGINT) % 97 = 1 THEN 'only-' || id
+         WHEN CAST(id AS BIGINT) % 41 <> 0 THEN category_id END AS category_id)
+  FROM catalog WHERE CAST(id AS BIGINT) % 37 <> 0 AND id IN (SELECT id FROM title_words)),
+chosen_words AS (SELECT id, word FROM title_words WHERE id IN (SELECT id FROM chosen)),
+"""
+#: The group without a category is no category: its products have no neighbours and no row of their own.
+GAP_PAIRS = topk_sql(GAP_FEATURES + CHOSEN_TITLES, BLEND, 48).replace("HAVING count(*) = 1", "HAVING count(*) = 1 AND category_id IS NOT NULL")
+
+
+def _gap_pairs(spark, sf):
+    return recommend(fx.catalog_with_gaps(spark, sf), Model(weights=BLEND, digits=DIGITS), words=fx.words(spark, sf))[0]
+
+
+@query(GAP_PAIRS)
+def topk_with_gaps(spark, sf):
+    """Missing titles, brands and categories, and categories of one product."""
+    return _gap_pairs(spark, sf)
+
+
+@query(GAP_PAIRS.replace('SELECT x AS "idX", y AS "idY", score,', 'SELECT x AS "idX", y AS "idY", score, true AS scored,')
+       .replace("SELECT min(id), NULL, NULL,", "SELECT min(id), 'N/A', NULL, false,"))
+def recommendation_file(spark, sf):
+    """Pairs as JSON lines, read back; products without candidates show ``N/A``."""
+    path = scratch_path(spark, "pairs")
+    sinks.write_recommendations(_gap_pairs(spark, sf), path)
+    fields = {name: F.get_json_object("value", f"$.{name}") for name in ("idX", "idY", "score", "method")}
+    scored = fields["score"] != sinks.NOT_AVAILABLE
+    return spark.read.text(path).select(
+        fields["idX"].alias("idX"), fields["idY"].alias("idY"), fields["method"].alias("method"),
+        F.when(scored, fields["score"]).cast("double").alias("score"), scored.alias("scored"),
+    )
+
+
 # --- evaluation ------------------------------------------------------------
 
 
