@@ -387,7 +387,8 @@ def repeated_spans(docs: DataFrame, spec: Repeats) -> DataFrame:
     )
     copies = materialise(copies.select("same", "r.row", "r.doc_id", "copies", "n_bytes"), "copies")
     several = copies.where((F.col("copies") > 1) & (F.col("n_bytes") >= spec.length)).select("same")
-    whole = scanned.join(several, "same").select("doc_id", "same", F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end")).distinct()
+    every = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end"))).alias("spans")
+    whole = scanned.join(several, "same").select("doc_id", "same", "n_bytes").distinct().select("doc_id", "same", every)
     places = scanned.join(copies.select("row"), "row", "left_semi")
     places = places.select("row", F.explode(F.arrays_zip("kmers", "heads", "places")).alias("x")).select("row", "x.*")
     # a table of its own: then both sides of the join are shuffled as they are, and AQE splits a very common k-mer
@@ -411,9 +412,10 @@ def repeated_spans(docs: DataFrame, spec: Repeats) -> DataFrame:
         found = by_key(runs.where("range >= 0"), "range", lambda c: _merged_spans(c, spec), "row long, begin long, end long")
         if any_hot:
             found = found.union(_hot_spans(runs, spec))
+        # one row per text before the join; a text with copies is whole already, so no text is in both parts
+        found = found.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
         spans = spans.unionByName(found.join(copies.where("copies = 1").select("row", "doc_id", "same"), "row").drop("row"))
-    spans = spans.select(F.col("doc_id").alias("_doc_id"), F.col("same").alias("_same"), "begin", "end")
-    return spans.groupBy("_doc_id", "_same").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    return spans.select(F.col("doc_id").alias("_doc_id"), F.col("same").alias("_same"), "spans")
 
 
 def _removed(spans, size: int) -> list[tuple[int, int]]:

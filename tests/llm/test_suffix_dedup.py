@@ -96,3 +96,17 @@ def test_merge_of_front_coded_runs():
         merged = [runs[r][0][i] for r, i in order]
         assert merged == sorted(t for r in runs for t in r[0])
         assert shared == sd.front_code(merged)[0]
+
+
+def test_spans_are_gathered_per_text_before_they_meet_the_texts(spark, capsys):
+    """A passage that every text has gives many spans: one row per text, not one per span, is joined."""
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    rows = [(i, f"{i} " + passage + f" {i * 7919}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = sd.repeated_spans(df, sd.Repeats())
+    spans.explain()
+    plan = capsys.readouterr().out
+    assert "keys=[row#" in plan and "keys=[_doc_id#" not in plan
+    assert spans.count() == 40
+    assert {r[0]: tuple(r[1:]) for r in sd.report(df).collect()} == brute(rows)
