@@ -35,7 +35,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, with the scores of its best segmentations."""
-    return nbest_pieces.encode(docs, alternatives=False)
+    # worker processes still hold what earlier stages took, so they remember fewer words than on their own
+    return nbest_pieces.encode(docs, alternatives=False, remember=50_000)
 
 
 STAGES = [

@@ -84,7 +84,8 @@ class Pieces:
         """Do what ``word`` does for all of these short words at once; ``cells`` characters with padding at a time."""
         new = sorted((w for w in words if w not in self.known and len(w) <= self.longest), key=len)
         if len(self.known) + len(new) > self.remember:
-            self.known.clear()
+            # words in use stay, so that the frequent ones are not searched again and again
+            self.known = {w: self.known[w] for w in words if w in self.known}
         while new:
             size = len(new[-1])
             # the longest first, so that words of about the same length are padded together
@@ -242,9 +243,7 @@ class Pieces:
                 if ahead[begin] + s > second and (begin, end) not in taken:
                     second = ahead[begin] + s
             known = (ids, ahead[n], ahead[n] - second, self.join(ids) == word)
-            if n <= self.longest:
-                if len(self.known) >= self.remember:
-                    self.known.clear()
+            if n <= self.longest and len(self.known) < self.remember:
                 self.known[word] = known
         return known
 
@@ -302,17 +301,17 @@ class Pieces:
         return self.join(ids)[1:]
 
 
-_loaded: dict[tuple[str, int], Pieces] = {}
+_loaded: dict[tuple[str, int, int], Pieces] = {}
 
 
-def pieces(model: str, best: int) -> Pieces:
+def pieces(model: str, best: int, remember: int = 500_000) -> Pieces:
     """The model of this worker process, read once."""
-    if (model, best) not in _loaded:
-        _loaded[model, best] = Pieces(model, best)
-    return _loaded[model, best]
+    if (model, best, remember) not in _loaded:
+        _loaded[model, best, remember] = Pieces(model, best, remember)
+    return _loaded[model, best, remember]
 
 
-def encode(docs: DataFrame, model: str = MODEL, best: int = 4, alternatives: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, best: int = 4, alternatives: bool = True, remember: int = 500_000) -> DataFrame:
     """``doc_id, ids, scores, changes, decoded`` per row.
 
     ``ids`` is the best segmentation of the whole text. ``scores`` has the scores
@@ -320,7 +319,8 @@ def encode(docs: DataFrame, model: str = MODEL, best: int = 4, alternatives: boo
     each differs from the best: for every word that is cut otherwise, where its
     pieces begin in ``ids``, how many it replaces, and the new ones (null with
     ``alternatives=False``). ``decoded`` tells that decoding ``ids`` gives the text.
-    Equal scores come in a fixed order. A null text gives nulls but for ``decoded``
+    ``remember`` words at most (about 600 bytes each) are kept by a worker process;
+    fewer cost time, not results. Equal scores come in a fixed order. A null text gives nulls but for ``decoded``
     (true), an empty text no pieces and no scores. Equal rows get equal results;
     an empty table gives none; other columns are ignored.
     """
@@ -331,7 +331,7 @@ def encode(docs: DataFrame, model: str = MODEL, best: int = 4, alternatives: boo
     }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pieces(model, best)
+        known = pieces(model, best, remember)
         for part in slices(batches, "text"):
             rows: dict[str, list] = {k: [] for k in kinds}
             texts = part.column("text").to_pylist()

@@ -65,3 +65,15 @@ def test_words_together_equal_words_alone():
     together.remember = 10
     together.learn({"x", "y"})
     assert not together.known
+
+
+def test_a_full_memory_keeps_the_words_in_use():
+    known, alone = nb.Pieces(nb.MODEL, 4, remember=60), nb.Pieces(nb.MODEL, 4)
+    common = {f" in use{i}" for i in range(20)}
+    for batch in range(5):
+        known.learn(common | {f" seen{batch}once{i}" for i in range(30)})
+        assert common <= set(known.known) and len(known.known) <= 60
+    assert all(known.known[w] == alone.word(w) for w in common)
+    for i in range(100):
+        assert known.word(f" later{i}") == alone.word(f" later{i}")
+    assert len(known.known) <= 60 and common <= set(known.known)
