@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.common import mix64, per_text, slices, span_hashes, text_bytes, word_spans
+from kindred.session import materialise, unbroadcast
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -29,14 +30,11 @@ OUTPUT = (
 
 @dataclass(frozen=True)
 class Rules:
-    """``trusted_rows`` bounds the labelled documents that stand for the trusted multinomial.
-
-    One in ``held_out`` of them sets the threshold: the ``quantile`` of their
-    scores less ``margin``; a ``threshold`` that is given is used instead.
+    """One in ``held_out`` of the trusted documents sets the threshold: the ``quantile`` of
+    their scores less ``margin``; a ``threshold`` that is given is used instead.
     """
 
     buckets: int = 1 << 15
-    trusted_rows: int = 20_000
     held_out: int = 4
     quantile: float = 0.001
     margin: float = 0.01
@@ -121,18 +119,13 @@ def gram_counts(docs: DataFrame, buckets: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, rules: Rules) -> tuple[np.ndarray, float]:
     """Log ratio per bucket, a vector of fixed size, and the threshold. Without trusted documents both are zero."""
-    order = F.xxhash64("doc_id")
-    trusted = (
-        labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null")
-        .select(F.col("doc_id").cast("long"))
-        .distinct()
-        .orderBy(order, "doc_id")
-        .limit(rules.trusted_rows)
-    )
-    held = F.pmod(order, F.lit(rules.held_out)) == 0
-    chosen = docs.select("doc_id", "text").join(F.broadcast(trusted.where(~held)), "doc_id", "left_semi")
+    trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(rules.held_out)) == 0
+    likely = _likely(docs.select("doc_id", "text"), trusted)
+    # written out, as these texts should move once; a semi join would be moved before the bitmap by Spark
+    chosen = materialise(likely.join(unbroadcast(trusted), "doc_id").select("doc_id", "text", held.alias("held")), "trusted")
     counts = gram_counts(docs, rules.buckets).withColumn("kind", F.lit(0))
-    counts = counts.union(gram_counts(chosen, rules.buckets).withColumn("kind", F.lit(1)))
+    counts = counts.union(gram_counts(chosen.where("not held"), rules.buckets).withColumn("kind", F.lit(1)))
     rows = counts.toPandas()
     corpus, good = both = np.zeros((2, rules.buckets))
     both[rows["kind"], rows["bucket"]] = rows["n"]
@@ -144,10 +137,32 @@ def fit(docs: DataFrame, labels: DataFrame, rules: Rules) -> tuple[np.ndarray, f
     ratio = np.log((good + weight * corpus) / (good.sum() + weight)) - np.log(corpus)
     if rules.threshold is not None:
         return ratio, rules.threshold
-    rest = docs.select("doc_id", "text").join(F.broadcast(trusted.where(held)), "doc_id", "left_semi")
+    rest = chosen.where("held").select("doc_id", "text")
     scores = rest.mapInArrow(_scorer(ratio, 0.0, rules), OUTPUT).where("not base_failed")
-    low = scores.agg(F.percentile("llr", F.lit(rules.quantile))).first()[0]
-    return ratio, min(0.0, (low or 0.0) - rules.margin)
+    return ratio, min(0.0, (quantile(materialise(scores.select("llr"), "held-scores"), "llr", rules.quantile) or 0.0) - rules.margin)
+
+
+def _likely(docs: DataFrame, trusted: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """Rows whose hashed id is one of the trusted ones', by a bitmap of fixed size: few other texts move for the join."""
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
+    marks = trusted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket"))
+    marks = marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
+    spot = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.floor(spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = docs.join(F.broadcast(marks), F.bitmap_bucket_number(place) == F.col("bucket"))
+    return marked.where(F.floor(byte / F.pow(F.lit(2), spot % 8)).cast("int") % 2 == 1).select(*docs.columns)
+
+
+def quantile(rows: DataFrame, column: str, share: float, accuracy: int = 10_000) -> float | None:
+    """Exact quantile with interpolation. A sketch bounds it from above, and only rows up to that bound are ordered."""
+    n = rows.agg(F.count(column)).first()[0]
+    if not n:
+        return None
+    place = share * (n - 1)
+    bound = rows.agg(F.percentile_approx(column, min(1.0, (place + 2) / n + 10 / accuracy), accuracy)).first()[0]
+    low = rows.where(F.col(column) <= bound)
+    held = low.agg(F.count(column)).first()[0]
+    return low.agg(F.percentile(column, F.lit(min(1.0, place / max(1, held - 1))))).first()[0]
 
 
 def judge(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:

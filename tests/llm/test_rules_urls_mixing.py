@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -46,6 +47,40 @@ def test_log_ratio_is_the_one_of_two_multinomials(spark):
     assert threshold <= 0 and (ratio > 0).sum() in range(1, 5)
 
 
+def test_every_trusted_document_counts(spark):
+    """More trusted documents than a bounded sample would hold; the last of them alone have the word b."""
+    n = 24_000
+    df = spark.range(n + 1000).selectExpr("id AS doc_id", "CASE WHEN id < 4000 THEN 'b' WHEN id < 24000 THEN 'a' ELSE 'c' END AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    rules = qr.Rules(buckets=64, threshold=0.0)
+    ratio, _ = qr.fit(df, labels, rules)
+    learned = df.where(f"doc_id < {n} AND pmod(xxhash64(doc_id), {rules.held_out}) <> 0").groupBy("text").count().collect()
+    good, corpus = {r["text"]: r["count"] for r in learned}, {"a": 20_000, "b": 4_000, "c": 1_000}
+    total, weight = sum(good.values()), 64 + sum(good.values())
+    share = {w: (k + 1) / (n + 1000 + 64) for w, k in corpus.items()}
+    want = [math.log((good.get(w, 0) + weight * p) / (total + weight)) - math.log(p) for w, p in share.items()]
+    assert sorted(x for x in ratio.round(9) if abs(x + math.log((total + weight) / weight)) > 1e-6) == sorted(round(x, 9) for x in want if abs(x + math.log((total + weight) / weight)) > 1e-6)
+
+
+def test_quantile_equals_the_one_over_all_rows(spark):
+    rng = random.Random(8)
+    for size in (1, 2, 3, 50, 40_000):
+        values = spark.createDataFrame([(rng.choice([rng.gauss(0, 1), 0.5, None]),) for _ in range(size)] + [(0.25,)], "x double")
+        for share in (0.0, 0.001, 0.3, 1.0):
+            want = values.selectExpr(f"percentile(x, {share}D)").first()[0]
+            assert abs(qr.quantile(values, "x", share) - want) < 1e-9
+    assert qr.quantile(values.limit(0), "x", 0.1) is None
+
+
+def test_likely_rows_hold_all_trusted_and_few_others(spark):
+    ids = [*range(-300, 300), 2**62, -(2**63), None]
+    docs = spark.createDataFrame([(i, str(i)) for i in ids] * 2, "doc_id long, text string")
+    trusted = docs.where("doc_id % 3 = 0").select("doc_id").distinct()
+    got = Counter(r.doc_id for r in qr._likely(docs, trusted).collect())
+    assert got == Counter(i for i in ids * 2 if i is not None and math.fmod(i, 3) == 0)
+    assert set(r.doc_id for r in qr._likely(docs, trusted, bits=64).collect()) >= set(got)
+
+
 def glob_fits(glob, text):
     out, i = "", 0
     while i < len(glob):
