@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.operators.ranking import median, spread_key
+from kindred.session import unbroadcast
 
 PRIMARY, UNGROUPED, SECONDARY = "primary", "ungrouped", "secondary"
 
@@ -99,7 +100,7 @@ def category_sizes(df: DataFrame) -> DataFrame:
 
 def join_images(df: DataFrame, images: DataFrame) -> DataFrame:
     """Keep products that have an image vector, as ``prelogits``."""
-    return df.join(images.select("id", "prelogits"), "id", "inner")
+    return df.join(unbroadcast(images.select("id", "prelogits")), "id", "inner")
 
 
 def duplicated(df: DataFrame, column: str) -> DataFrame:

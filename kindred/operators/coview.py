@@ -13,7 +13,7 @@ from kindred.operators.catalog import candidates as candidate_rows
 from kindred.operators.neighbours import comparison_features, row_bytes
 from kindred.operators.ranking import geometric_cutoff, geometric_weight, top_per_key
 from kindred.operators.tiles import build_grid, rank_kernel
-from kindred.session import materialise
+from kindred.session import materialise, unbroadcast
 
 
 def best_coview(pairs: DataFrame, roles: DataFrame) -> DataFrame:
@@ -29,8 +29,8 @@ def best_coview(pairs: DataFrame, roles: DataFrame) -> DataFrame:
     )
     primary = roles.select(F.col("sku_id").alias("skuY"), F.col("primary_sku_id").alias("y"))
     return (
-        distinct.join(roles.select(F.col("sku_id").alias("skuX")), "skuX", "left_semi")
-        .join(primary, "skuY")
+        distinct.join(unbroadcast(roles.select(F.col("sku_id").alias("skuX"))), "skuX", "left_semi")
+        .join(unbroadcast(primary), "skuY")
         .groupBy(F.col("skuX").alias("x"), "y")
         .agg(F.max("score").alias("score"))
     )
@@ -75,7 +75,7 @@ def candidate_ranks(
         comparison_features(products, w, id_col="sku_id", extra=("role",)), "rank-features"
     )
     candidates = candidate_rows(features).drop("role", "pos", "group_id")
-    side = lambda name: features.select(
+    side = lambda name: unbroadcast(features).select(
         F.col("id").alias(name),
         F.col("category_id").alias(f"{name}_category"),
         F.struct(*w.columns()).alias(name + "_features"),
@@ -95,7 +95,7 @@ def candidate_ranks(
         .agg(F.collect_list("t").alias("targets"))  # at most as many as weights above zero
     )
     queries = materialise(
-        features.drop("role", "pos", "group_id").join(targets.withColumnRenamed("x", "id"), "id"), "rank-queries"
+        features.drop("role", "pos", "group_id").join(unbroadcast(targets.withColumnRenamed("x", "id")), "id"), "rank-queries"
     )
     grid = build_grid(queries, candidates, row_bytes(features, w), tile_rows)
     id_type = features.schema["id"].dataType
@@ -125,7 +125,7 @@ def score_per_query(weighted: DataFrame, ranks: DataFrame, ini: float = 0.95) ->
     )
     return (
         weighted.select("x").distinct()
-        .join(sums, "x", "left")
+        .join(unbroadcast(sums), "x", "left")
         .select("x", F.coalesce("weight_sum", F.lit(0.0)).alias("weight_sum"), F.coalesce("full_sum", F.lit(0.0)).alias("full_sum"))
     )
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from kindred.functions.distance import Weights
 from kindred.operators.tiles import column_matrix, shortlist_kernel, task_count
-from kindred.session import materialise
+from kindred.session import materialise, unbroadcast
 
 MAX_PIVOTS = 512
 SAMPLE_PER_PIVOT = 16
@@ -229,7 +229,7 @@ def pruned_shortlists(
     open_ = F.col("sure").isNull() | (least_distance(weights) <= 1 - F.col("sure") + 10.0**-digits + SLACK)
     left_open = (
         q.select("category_id", "query_part", F.col("id").alias("idX"), "norm", "reaches", *scalars)
-        .join(sure, "idX", "left")
+        .join(unbroadcast(sure), "idX", "left")
         .join(facts, "category_id")
         .where(open_)
         .groupBy("category_id", "query_part", "candidate_part")
