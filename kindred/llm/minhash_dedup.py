@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.common import WORD_PATTERN, lower_ascii, mix64, slices, span_hashes, text_bytes, word_spans
 from kindred.llm.components import connected_components, local_stars
-from kindred.session import materialise
+from kindred.session import materialise, unbroadcast
 
 HASHES = 64
 
@@ -312,7 +312,8 @@ def drop_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     found = materialise(dedup(docs, join), "verdicts")
     some = F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False))
     gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, some & (F.col("doc_id").cast("long") == F.col("_gone")), "left_anti")
+    # one plan at any size: the ids that go grow with the input
+    left = docs.join(unbroadcast(gone), some & (F.col("doc_id").cast("long") == F.col("_gone")), "left_anti")
     # only ids with several rows that have a set are ranked
     often = found.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
     often = materialise(often.select(F.col("doc_id").alias("_often")), "repeated-ids")

@@ -92,3 +92,12 @@ def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 9), (9, 7), (5, 5), (None, 2)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(101, 161)} | {7: 3, 9: 3}
+
+
+def test_ids_that_go_are_not_sent_through_the_driver(spark, capsys):
+    rows = [(i, "one two three four five six seven") for i in range(5)] + [(i, f"other {i} words that stand alone here") for i in range(5, 8)] + [(None, "x"), (9, None)]
+    left = md.drop_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    left.explain()
+    plan = capsys.readouterr().out
+    assert "LeftAnti" in plan and "BroadcastHashJoin" not in plan
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == [(False, 0), (False, 5), (False, 6), (False, 7), (False, 9), (True, 0)]
