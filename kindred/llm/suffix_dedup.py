@@ -45,7 +45,7 @@ class Repeats:
     range_rows: int = 50_000
     hot_rows: int = 100_000
     run_bytes: int = 32 << 20
-    segment: int = 1 << 20
+    segment: int = 1 << 17
 
 
 def _prefix_hashes(data: np.ndarray) -> np.ndarray:
