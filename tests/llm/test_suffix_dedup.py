@@ -110,3 +110,16 @@ def test_spans_are_gathered_per_text_before_they_meet_the_texts(spark, capsys):
     assert "keys=[row#" in plan and "keys=[_doc_id#" not in plan
     assert spans.count() == 40
     assert {r[0]: tuple(r[1:]) for r in sd.report(df).collect()} == brute(rows)
+
+
+def test_a_long_text_is_scanned_in_small_segments():
+    import tracemalloc
+
+    import numpy as np
+
+    data = np.random.default_rng(3).integers(32, 127, 1 << 20).astype(np.uint8)
+    tracemalloc.start()
+    found = sum(len(part[0]) for part in sd.anchors(data, np.array([0, len(data)]), sd.Repeats()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > len(data) // 200 and peak < 30 << 20

@@ -145,3 +145,33 @@ def test_repeated_words_and_ids(spark, limit):
     docs = spark.createDataFrame([("x", ["a", "a"]), ("x", ["a"])], "id string, tokens array<string>")
     got = titles.sum_word_vectors(docs, words, max_broadcast_bytes=limit).collect()
     assert sorted((r.id, list(r.total), r.n) for r in got) == [("x", [1.0, 2.0], 1), ("x", [2.0, 4.0], 2)]
+
+
+PRODUCTS = [("1", "sofa and red"), ("2", "bed"), ("2", "lamp"), ("3", "lamp"), ("4", None), (None, "red"), (None, "oak"), ("2", "red red")]
+
+
+def test_product_vectors_of_repeated_and_missing_ids_either_way(spark, words):
+    products = spark.createDataFrame(PRODUCTS, "id string, products string")
+    near, joined = (
+        sorted((str(r.id), [round(x, 12) for x in r.product_vec]) for r in titles.product_vectors(products, words, max_broadcast_bytes=b).collect())
+        for b in (1 << 20, 0)
+    )
+    assert near == joined and len(near) == 11
+
+
+def test_product_vectors_are_made_after_the_join(spark, words, capsys):
+    products = spark.createDataFrame(PRODUCTS, "id string, products string")
+    titles.product_vectors(products, words).explain()
+    plan = capsys.readouterr().out
+    assert plan.index("MapInArrow") < plan.index("Join")
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_vocabulary_tokens_without_a_shuffle_of_tokens(spark, words, capsys, repeated):
+    rows = DOCS + [("5", None), (None, ["x", "red", "bed"])] + ([("1", ["bed", "x"]), (None, ["sofa"])] if repeated else [])
+    raw = spark.createDataFrame(rows, "id string, tokens array<string>").repartition(3)
+    near, joined = (terms.vocabulary_tokens(raw, words, max_broadcast_words=b) for b in (100, 0))
+    ordered = lambda df: sorted((str(r.id), r.tokens) for r in df.collect())
+    assert ordered(near) == ordered(joined)
+    near.explain()
+    assert repeated or "Generate" not in capsys.readouterr().out
