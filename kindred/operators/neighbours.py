@@ -40,12 +40,13 @@ def without_surplus_copies(features: DataFrame, weights: Weights, k: int) -> Dat
     Products equal in everything compared are equally similar to any query, so of
     ungrouped copies only the ``k + 1`` highest ids, and of copies in one group
     only the two first members, can ever be returned (one of them may be the
-    query itself). Only classes seen more often than that are shuffled.
+    query itself). Only classes seen more than twice as often as that are shuffled.
     """
     same = ["category_id", "group_id", *weights.columns()]
     hashed = features.withColumn("_class", F.xxhash64(*same))
+    needed = F.when(F.bool_or(F.col("group_id").isNull()), k + 1).otherwise(2)
     crowded = materialise(
-        hashed.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * (k + 1)).select("_class"),
+        hashed.groupBy("_class").agg(F.count(F.lit(1)).alias("n"), needed.alias("needed")).where("n > 2 * needed").select("_class"),
         "crowded",
     )
     if crowded.isEmpty():

@@ -107,6 +107,8 @@ def build_grid(
     tiles, widest = sizes.agg(
         F.sum(F.col("query_parts").cast("long") * F.col("candidate_parts")), F.max("candidate_parts")
     ).first()
+    if (widest or 1) > 1 and "group_id" in candidates.columns:
+        candidates = with_units(candidates, candidate_rows)
     # Few categories are larger than a tile. Being a file, this table is
     # broadcast by Spark if and only if its size is below the configured bound.
     large = materialise(sizes.where("query_parts > 1 OR candidate_parts > 1"), "large-categories")
@@ -116,7 +118,7 @@ def build_grid(
         n_own, n_other = (F.coalesce(f"{name}_parts", F.lit(1)) for name in (own, other))
         return counted.select(
             *(F.col(c).alias(c) for c in side.columns),
-            F.pmod(F.xxhash64("id"), n_own).cast("int").alias(f"{own}_part"),
+            F.pmod("unit" if "unit" in side.columns else F.xxhash64("id"), n_own).cast("int").alias(f"{own}_part"),
             F.explode(F.sequence(F.lit(0), n_other - 1)).alias(f"{other}_part"),
         )
 
@@ -193,11 +195,28 @@ def _same_id(query_ids: np.ndarray, candidate_ids: np.ndarray) -> tuple[np.ndarr
     return both["row"].to_numpy(), both["column"].to_numpy()
 
 
+def with_units(candidates: DataFrame, rows: int) -> DataFrame:
+    """Add ``unit``, by which a row is dealt to parts, and ``whole``: whether all rows of its unit go
+    together. Groups do if they are small against parts of ``rows``; other rows are dealt by id."""
+    names = ["category_id", "group_id"]
+    sizes = candidates.where("group_id IS NOT NULL").groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    large = materialise(sizes.where(F.col("n") > max(1, rows // 8)).select(*names, F.lit(True).alias("large")), "large-groups")
+    counted = candidates if large.isEmpty() else candidates.join(large, names, "left")
+    is_large = F.lit(False) if large.isEmpty() else F.coalesce("large", F.lit(False))
+    alone = F.col("group_id").isNull()
+    return counted.select(
+        *(F.col(c).alias(c) for c in candidates.columns),
+        F.when(alone | is_large, F.xxhash64("id")).otherwise(F.xxhash64("group_id", F.lit(3))).alias("unit"),
+        (alone | ~is_large).alias("whole"),
+    )
+
+
 def shortlist_kernel(k: int, weights: Weights, digits: int, null_safe_brand: bool, final: bool = False):
     """Best ``k`` units per query of a tile. A unit is a group (its best member
     by similarity, then position) or an ungrouped product; units are ordered by
     similarity, then id, both descending. The cut is exact: whatever is dropped
-    has ``k`` units of this tile before it."""
+    has ``k`` units of this tile before it. A column ``whole`` of the candidates tells
+    which have all rows of their unit in this tile."""
     unit = 10**digits
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -212,7 +231,10 @@ def shortlist_kernel(k: int, weights: Weights, digits: int, null_safe_brand: boo
             order = np.argsort(groups, kind="stable")
             right = right.take(pa.array(order))
             starts = np.flatnonzero(np.r_[True, np.diff(groups[order]) > 0])
-            named = ~alone[order]
+            # where all of a group is in this tile, its representative is known, and it is cut like a product
+            apart = ~alone[order]
+            if "whole" in right.column_names:
+                apart &= ~_values(right.column("whole")).astype(bool)
             ids, places = _values(right.column("id")), _values(right.column("pos"))
             by_id = np.argsort(ids, kind="stable")
             id_rank = np.empty(n, np.int64)
@@ -238,9 +260,9 @@ def shortlist_kernel(k: int, weights: Weights, digits: int, null_safe_brand: boo
                     ranked = score * n + id_rank
                 valid = score > never
                 if ranked.shape[1] > k:
-                    # a group's representative may be in another tile and have any id: at equal
-                    # similarity it comes before nothing for certain, and is never cut for its id
-                    open_ = (named[starts] if grouped else named) & (not final)
+                    # the representative of a group in parts may be in another tile and have any id: at
+                    # equal similarity it comes before nothing for certain, and is never cut for its id
+                    open_ = (apart[starts] if grouped else apart) & (not final)
                     sure = np.where(open_, score * n, ranked)
                     least = -np.partition(-sure, k - 1, axis=1)[:, k - 1 : k]
                     valid &= np.where(open_, score * n + n - 1, ranked) >= least

@@ -164,3 +164,32 @@ def test_many_digits_and_missing_vectors(spark):
     broken = spark.createDataFrame([*rows, ("d", "d", None, "c", None, 1.0, None, [1.0, 0.0])], SCHEMA)
     with pytest.raises(Exception, match="one length"):
         top_neighbours(broken, Weights(1, 0), 2).collect()
+
+
+def test_ties_of_groups_are_cut_in_every_tile(spark):
+    from pyspark.sql import functions as F
+
+    from kindred.operators.tiles import build_grid, shortlist_kernel
+
+    # 150 groups of two whose members all tie, and one large group that has to be parted
+    rows = [(f"p{i:03}", f"s{i * 7 % 400:03}", f"g{i // 2}" if i < 300 else "big", "c", "b", 1.0, angle(i % 2 * 1e-6), [1.0]) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("pos", F.col("sku_id")).drop("sku_id")
+    grid = build_grid(df, df, 16, 80)
+    out = "idX string, idY string, group_id string, pos string, score double"
+    from pyspark.sql.types import _parse_datatype_string
+
+    found = grid.apply(shortlist_kernel(4, Weights(1, 0), 6, False), _parse_datatype_string(out))
+    most = found.where("group_id <> 'big'").groupBy("idX").count().agg(F.max("count")).first()[0]
+    assert not grid.single_pass and most <= 4 * 5  # k rows of each of the five parts
+    for prune in (True, False):
+        assert run(spark, rows, Weights(1, 0), 4, tile_rows=80, prune=prune) == brute_force(rows, Weights(1, 0), 4, 6)
+
+
+def test_few_copies_in_one_group_are_dropped(spark):
+    from kindred.operators.neighbours import without_surplus_copies
+
+    rows = [(f"p{i:03}", f"s{i * 7 % 60:03}", f"g{i % 2}" if i < 40 else None, "c", "b", 1.0, angle(10), [1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("sku_id", "pos")
+    kept = sorted((r.group_id, r.pos) for r in without_surplus_copies(df, Weights(1, 0), 48).where("group_id IS NOT NULL").collect())
+    assert kept == sorted(p for g in ("g0", "g1") for p in sorted((r[2], r[1]) for r in rows if r[2] == g)[:2])
+    assert run(spark, rows, Weights(1, 0), 48) == brute_force(rows, Weights(1, 0), 48, 6)
