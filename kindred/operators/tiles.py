@@ -26,6 +26,7 @@ TILE_BYTES = 64 << 20
 MAX_TILE_ROWS = 16_384
 MIN_QUERY_ROWS = 256
 CHUNK_CELLS = 500_000
+CLOSE_SHARE = 0.25
 
 
 @dataclass
@@ -166,20 +167,38 @@ class TileDistances:
                 t.column("price_hint").to_numpy().astype(float) for t in (queries, candidates)
             )
 
-    def rows(self, start: int, stop: int) -> np.ndarray:
+    def without_price(self, start: int, stop: int) -> np.ndarray:
         total = 0.0
         for factor, q, c in self.vectors:
-            total = total + factor * (1 - q[start:stop] @ c.T)
+            part = q[start:stop] @ c.T  # then in place, as new arrays of this size take longer than the sums
+            total += np.multiply(np.subtract(1, part, out=part), factor, out=part)
         if self.weights.brand:
             differs = self.query_brand[start:stop, None] != self.candidate_brand[None, :]
-            total = total + self.weights.brand * differs
+            total += self.weights.brand * differs
+        return total
+
+    def rows(self, start: int, stop: int) -> np.ndarray:
+        total = self.without_price(start, stop)
         if self.weights.price:
-            j, i = self.query_price[start:stop, None], self.candidate_price[None, :]
-            with np.errstate(all="ignore"):
-                gap = np.where(j < i, i - j, np.where(j > 1.1 * i, j - 1.1 * i, 0.0)) / (i + j)
-            total = total + self.weights.price * np.where(np.isfinite(gap), gap, 0.0)
+            total = total + self.price_share(self.query_price[start:stop, None], self.candidate_price[None, :])
         return total
 
+    def price_share(self, j: np.ndarray, i: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            gap = np.where(j < i, i - j, np.where(j > 1.1 * i, j - 1.1 * i, 0.0)) / (i + j)
+        return self.weights.price * np.where(np.isfinite(gap), gap, 0.0)
+
+    def most_by_price(self) -> np.ndarray | None:
+        """For each query, what prices add to a distance at most; None if not known. The share
+        grows to both sides of a query's price, so the cheapest and the dearest candidate tell."""
+        if not self.weights.price:
+            return np.zeros(len(self.vectors[0][1]) if self.vectors else 0)
+        known = self.candidate_price[np.isfinite(self.candidate_price)]
+        if self.weights.price < 0 or (known < 0).any() or (self.query_price < 0).any():
+            return None
+        ends = known.min(initial=np.inf), known.max(initial=-np.inf)
+        return np.maximum(*(self.price_share(self.query_price, np.float64(end)) for end in ends))
+
 
 def _chunks(n_rows: int, n_columns: int):
     step = max(1, CHUNK_CELLS // max(1, n_columns))
@@ -211,6 +230,27 @@ def with_units(candidates: DataFrame, rows: int) -> DataFrame:
     )
 
 
+def _close_cells(base, own, starts, k, most, unit, limit) -> tuple[np.ndarray, np.ndarray] | None:
+    """Row and column numbers of the cells that can be among the best ``k`` units of their row, or
+    None where that is not known or spares too little.
+
+    ``base`` are distances without prices, which add between nothing and ``most``; units begin at
+    the columns ``starts``. ``k`` units are no farther than the k-th smallest base and ``most``, so
+    cells whose base is farther cannot count. Cells of a product with itself (``own``) are left out.
+    """
+    if not (np.abs([base.min(), base.max()]).max() + 2 + most.max()) * unit < limit:
+        return None
+    base[own] = np.inf
+    nearest = base if len(starts) == base.shape[1] else np.minimum.reduceat(base, starts, axis=1)
+    reach = np.partition(nearest, k - 1, axis=1)[:, k - 1] + most + 2 / unit
+    if not np.isfinite(reach).all():
+        return None
+    close = base <= reach[:, None]
+    if np.count_nonzero(close) > close.size * CLOSE_SHARE:
+        return None
+    return np.divmod(np.flatnonzero(close), close.shape[1])
+
+
 def shortlist_kernel(k: int, weights: Weights, digits: int, null_safe_brand: bool, final: bool = False):
     """Best ``k`` units per query of a tile. A unit is a group (its best member
     by similarity, then position) or an ungrouped product; units are ordered by
@@ -245,13 +285,40 @@ def shortlist_kernel(k: int, weights: Weights, digits: int, null_safe_brand: boo
             query_ids = _values(left.column("id"))
             self_rows, self_columns = _same_id(query_ids, ids)
             distances = TileDistances(left, right, weights, null_safe_brand)
+            # the representative of a group in parts may be in another tile and have any id: at
+            # equal similarity it comes before nothing for certain, and is never cut for its id
+            open_ = apart[starts] & (not final)
+            most = distances.most_by_price() if distances.vectors and len(starts) > k else None
             for start, stop in _chunks(left.num_rows, n):
+                low, high = np.searchsorted(self_rows, (start, stop))
+                own = self_rows[low:high] - start, self_columns[low:high]
+                base = None if most is None else distances.without_price(start, stop)
+                cells = None if base is None else _close_cells(base, own, starts, k, most[start:stop], unit, -never)
+                if cells is not None:
+                    row, at = cells
+                    exact = base[row, at]
+                    if weights.price:
+                        exact = exact + distances.price_share(distances.query_price[start:stop][row], distances.candidate_price[at])
+                    score = np.rint((1 - exact) * unit).astype(np.int64)
+                    owner = np.searchsorted(starts, at, side="right") - 1
+                    first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(owner) != 0)])
+                    best = np.maximum.reduceat(score * n + (n - 1 - place_rank[at]), first)
+                    row, owner, score = row[first], owner[first], best // n
+                    ranked = score * n + id_rank[by_place[n - 1 - best % n]]
+                    sure = np.where(open_[owner], score * n, ranked)
+                    # every query has k units here, so each has a k-th one
+                    kth = np.searchsorted(row, np.arange(stop - start)) + k - 1
+                    least = sure[np.lexsort((-sure, row))][kth]
+                    picked = np.where(open_[owner], score * n + n - 1, ranked) >= least[row]
+                    out["idX"].append(row[picked] + start)
+                    out["column"].append(by_id[ranked[picked] % n])
+                    out["score"].append(score[picked] / unit)
+                    continue
                 score = np.rint((1 - distances.rows(start, stop)) * unit)
                 if not np.abs(score).max() < -never:  # also where a score is not a number
                     raise ValueError(f"{digits} digits are too many for these scores, or a vector holds NaN")
                 score = score.astype(np.int64)
-                low, high = np.searchsorted(self_rows, (start, stop))
-                score[self_rows[low:high] - start, self_columns[low:high]] = never
+                score[own] = never
                 if grouped := len(starts) < n:
                     best = np.maximum.reduceat(score * n + (n - 1 - place_rank), starts, axis=1)
                     score = best // n
@@ -260,9 +327,6 @@ def shortlist_kernel(k: int, weights: Weights, digits: int, null_safe_brand: boo
                     ranked = score * n + id_rank
                 valid = score > never
                 if ranked.shape[1] > k:
-                    # the representative of a group in parts may be in another tile and have any id: at
-                    # equal similarity it comes before nothing for certain, and is never cut for its id
-                    open_ = (apart[starts] if grouped else apart) & (not final)
                     sure = np.where(open_, score * n, ranked)
                     least = -np.partition(-sure, k - 1, axis=1)[:, k - 1 : k]
                     valid &= np.where(open_, score * n + n - 1, ranked) >= least

@@ -93,3 +93,14 @@ def test_training_job(spark, corpus, tmp_path):
     paths = train(corpus, str(tmp_path / "models"), dim=4, titles=titles, epochs=1)
     assert spark.read.parquet(paths["words"]).count() == 40
     assert spark.read.parquet(paths["documents"]).count() == corpus.count() + 5
+
+
+def test_inference_of_short_documents_is_spread_and_in_batches(spark, corpus, monkeypatch):
+    _, words = e.train_document_vectors(corpus, dim=8, epochs=1)
+    short = spark.createDataFrame([(f"s{i}", [f"bed{i % 20}"] * (i % 4)) for i in range(400)], "doc string, tokens array<string>")
+    shards, sharded = [], e._sharded
+    monkeypatch.setattr(e, "_sharded", lambda *a, **k: shards.append(sharded(*a, **k)) or shards[-1])
+    together = dict(e.infer_document_vectors(short, words, shard_tokens=1_000).collect())
+    assert shards[0][2] >= 400 * e.STEP // 1_000  # their 600 tokens alone would be one shard
+    few = dict(e.infer_document_vectors(short.where("doc IN ('s1', 's7', 's399')"), words).collect())
+    assert len(together) == 400 and all(np.allclose(together[d], v, rtol=0, atol=1e-12) for d, v in few.items())

@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kindred.functions.distance import Weights
+from kindred.operators import tiles
 from kindred.operators.neighbours import top_neighbours
 
 SCHEMA = (
@@ -193,3 +195,38 @@ def test_few_copies_in_one_group_are_dropped(spark):
     kept = sorted((r.group_id, r.pos) for r in without_surplus_copies(df, Weights(1, 0), 48).where("group_id IS NOT NULL").collect())
     assert kept == sorted(p for g in ("g0", "g1") for p in sorted((r[2], r[1]) for r in rows if r[2] == g)[:2])
     assert run(spark, rows, Weights(1, 0), 48) == brute_force(rows, Weights(1, 0), 48, 6)
+
+
+@pytest.mark.parametrize("final", [True, False])
+def test_cells_ruled_out_without_their_price_change_nothing(monkeypatch, final):
+    rng = np.random.default_rng(4)
+    n, w = 1500, Weights(title=0.5, image=0.0, brand=0.2, price=0.3)
+    vectors = rng.normal(size=(n, 6))
+    vectors[:200] = vectors[200:400]  # copies, so that there are ties
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    price = rng.uniform(900, 1000, n)
+    price[::50] = np.nan
+    rows = pa.table({
+        "id": [str(i) for i in range(n)],
+        "pos": [f"S{i}" for i in range(n)],
+        "group_id": pa.array([None if i % 5 == 0 else f"g{g}" for i, g in enumerate(rng.integers(0, 200, n))]),
+        "title_vec": list(vectors),
+        "brand": [f"b{b}" for b in rng.integers(0, 8, n)],
+        "price_hint": price,
+        "whole": rng.random(n) < 0.7,
+    })
+    exact, seen = tiles.TileDistances.price_share, []
+
+    def counting(self, j, i):
+        seen.append(np.broadcast(j, i).size)
+        return exact(self, j, i)
+
+    monkeypatch.setattr(tiles.TileDistances, "price_share", counting)
+    found = {}
+    for share in (tiles.CLOSE_SHARE, -1.0):  # the second compares every cell
+        monkeypatch.setattr(tiles, "CLOSE_SHARE", share)
+        seen.clear()
+        out = tiles.shortlist_kernel(10, w, 6, False, final=final)(rows.slice(0, 300), rows)
+        found[share] = sorted(zip(*(out.column(c).to_pylist() for c in ("idX", "idY", "score")))), sum(seen)
+    assert found[0.25][0] == found[-1.0][0]
+    assert found[0.25][1] < 300 * n / 4 < 300 * n <= found[-1.0][1]
