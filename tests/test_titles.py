@@ -1,9 +1,12 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from checks.fixtures import texts
 from kindred.operators import lsa, terms, titles
 from kindred.operators.quality import weighted_document_vectors
 
@@ -175,3 +178,40 @@ def test_vocabulary_tokens_without_a_shuffle_of_tokens(spark, words, capsys, rep
     assert ordered(near) == ordered(joined)
     near.explain()
     assert repeated or "Generate" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("limit", [1000, 5, 0])
+def test_tfidf_keeps_terms_with_their_document(spark, limit):
+    """The same weights with all words sent out, without single ones, and with a join."""
+    rows = [
+        (1, ["a", "b", "a", None]), (2, ["b", "c"]), (3, []), (4, None), (5, ["b", "b", "d", "e"]),
+        (2, ["c", "a", "x"]), (None, ["a", "q"]), (None, ["q", "b"]), (8, ["zz", "b", "e"]),
+    ]
+    docs = spark.createDataFrame(rows, "id long, tokens array<string>")
+    for found in (docs, docs.where("id IN (1, 3, 4, 5, 8)")):
+        weights = terms.tfidf(found, max_broadcast_words=limit)
+        if limit and found is not docs:
+            plan = weights._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Window" not in plan
+        count, every = {}, found.collect()
+        for key, tokens in every:
+            for word in tokens or []:
+                if word is not None:
+                    count[key, word] = count.get((key, word), 0) + 1
+        df = {w: sum(word == w for _, word in count) for _, w in count}
+        raw = {kw: tf * math.log2(len(every) / df[kw[1]]) for kw, tf in count.items() if df[kw[1]] < len(every)}
+        norm = {k: math.sqrt(sum(v * v for (key, _), v in raw.items() if key == k)) for k, _ in raw}
+        got = {(r.id, r.word): (r.tf, r.df, round(r.weight, 9)) for r in weights.collect()}
+        assert got == {(k, w): (count[k, w], df[w], round(v / norm[k], 9)) for (k, w), v in raw.items()}
+
+
+def test_texts_of_one_row_group_are_spread(spark, tmp_path):
+    pq.write_table(pa.table({"doc_id": range(3000), "text": [f"{i} " * 300 for i in range(3000)]}), tmp_path / "documents.parquet", row_group_size=3000)
+    cut = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        found = texts(spark, str(tmp_path), "documents")
+        assert found.select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
+        assert found.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
