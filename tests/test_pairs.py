@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from checks import queries as q
+from checks import fixtures, queries as q
 from kindred.operators.titles import unit_vectors_in_place
 
 
@@ -61,3 +61,12 @@ def test_unit_vectors_in_place(spark):
         spark.createDataFrame(rows, "n int, x array<string>, y array<string>").coalesce(1), {"x": words, "y": words}).collect()}
     assert got[1] == (pytest.approx([0.6, 0.8]), pytest.approx([0.0, 1.0])) and got[2] == (None, None)
     assert got[3] == (pytest.approx(unit([210_000, 4]).tolist()), [0.0, 0.0]) and got[4] == (None, [1.0, 0.0])
+
+
+def test_tasks_of_pairs_grow_with_the_lines(spark, tables, monkeypatch):
+    expected = sorted(q.rule_ladder_distance(spark, tables).collect())
+    monkeypatch.setattr(fixtures, "LINES_PER_TASK", 1)  # 5 lines: 5 tasks, more than the session's 4
+    got = q.rule_ladder_distance(spark, tables)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") >= 6 and sorted(got.collect()) == expected
+    assert {(r.skuX, r.skuY) for r in expected} == {(f"S{x}", f"S{y}") for x, y in PAIRS}
