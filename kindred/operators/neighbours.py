@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.functions.distance import Weights
-from kindred.operators.pruning import can_prune, pruned_shortlists
-from kindred.operators.tiles import build_grid, shortlist_kernel
+from kindred.operators.pruning import can_prune, pruned_search
+from kindred.operators.tiles import Search, build_grid, search_all, shortlist_kernel
 from kindred.session import materialise
 
 
@@ -64,23 +64,6 @@ def without_surplus_copies(features: DataFrame, weights: Weights, k: int) -> Dat
     return materialise(rest.unionByName(kept).drop("_class"), "candidates")
 
 
-def _merge(shortlists: DataFrame, k: int) -> DataFrame:
-    """Best member per group, then best ``k`` per query, over all tiles. One
-    shuffle by query serves both steps."""
-    alone = F.col("group_id").isNull()
-    unit = F.struct(alone.alias("alone"), F.when(alone, F.col("idY").cast("string")).otherwise(F.col("group_id")).alias("name"))
-    per_unit = Window.partitionBy("idX", "unit").orderBy(F.desc("score"), "pos", "idY")
-    per_query = Window.partitionBy("idX").orderBy(F.desc("score"), F.desc("idY"))
-    return (
-        shortlists.withColumn("unit", unit)
-        .repartition("idX")
-        .withColumn("_n", F.row_number().over(per_unit))
-        .where("_n = 1")
-        .withColumn("_n", F.row_number().over(per_query))
-        .where(F.col("_n") <= k)
-    )
-
-
 def lonely_products(features: DataFrame) -> DataFrame:
     """Products that are the only one of their category."""
     return (
@@ -117,34 +100,24 @@ def top_neighbours(
     candidates = without_surplus_copies(features, w, k)
     grid = build_grid(features, candidates, width, tile_rows)
     kind = {f.name: f.dataType for f in features.schema}
-    schema = T.StructType(
-        [
-            T.StructField("idX", kind["id"]),
-            T.StructField("idY", kind["id"]),
-            T.StructField("group_id", kind["group_id"]),
-            T.StructField("pos", kind["pos"]),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
+    pair = [T.StructField("idX", kind["id"]), T.StructField("idY", kind["id"])]
+    score = T.StructField("score", T.DoubleType())
+    columns = ["idX", "idY", "score"]
+    listed = T.StructType([*pair, T.StructField("group_id", kind["group_id"]), T.StructField("pos", kind["pos"]), score])
     # where one tile sees the whole category, its cut is the result
     final = shortlist_kernel(k, w, digits, null_safe_brand, final=True)
-    columns = ["idX", "idY", "score"]
-    # categories of one candidate part need no merge and no bounds
-    several = grid.large.where("candidate_parts > 1")
-    searched = None
-    if prune and can_prune(w) and not grid.single_pass:
-        searched = pruned_shortlists(
-            features, candidates, several, w, k, digits, null_safe_brand, grid.candidate_rows, schema
-        )
-    if searched is not None:
-        rest = grid.without(several).apply(final, schema)
-        found = _merge(searched, k).select(*columns).unionByName(rest.select(*columns))
+    if grid.single_pass:
+        found = grid.apply(final, listed).select(*columns)
     else:
-        if grid.single_pass:
-            found = grid.apply(final, schema)
-        else:
-            found = _merge(grid.apply(shortlist_kernel(k, w, digits, null_safe_brand), schema), k)
+        # in larger categories candidates pass by their queries, which needs no merge
+        several = grid.large.where("candidate_parts > 1")
+        search, schema, found = Search(w, k, digits, null_safe_brand, grid.candidate_rows), T.StructType([*pair, score]), None
+        if prune and can_prune(w):
+            found = pruned_search(features, candidates, several, search, width, schema)
+        if found is None:
+            found = search_all(features, candidates, several, search, width, schema)
+        found = found.unionByName(grid.without(several).apply(final, listed).select(*columns))
     alone = lonely_products(features).select(
         F.col("id").alias("idX"), F.lit(None).cast(kind["id"]).alias("idY"), F.lit(None).cast("double").alias("score")
     )
-    return found.select(*columns).unionByName(alone).withColumn("method", F.lit(method))
+    return found.unionByName(alone).withColumn("method", F.lit(method))

@@ -19,8 +19,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.functions.distance import Weights
-from kindred.operators.tiles import column_matrix, shortlist_kernel, task_count
-from kindred.session import materialise, unbroadcast
+from kindred.operators.tiles import (
+    QUERY_PART,
+    Nearest,
+    Search,
+    column_matrix,
+    found_batches,
+    in_waves,
+    nearest_batches,
+    search_parts,
+    task_count,
+)
+from kindred.session import materialise
 
 MAX_PIVOTS = 512
 SAMPLE_PER_PIVOT = 16
@@ -28,7 +38,7 @@ SHELLS = 12
 SLACK = 1e-7
 WORTHWHILE = 0.5
 PART = ("category_id", "cell", "shell")
-KEYS = ("category_id", "query_part", "bundle")
+SURE_ROWS = 1024
 
 
 def can_prune(weights: Weights) -> bool:
@@ -62,24 +72,26 @@ def _choose_pivots(features: DataFrame, weights: Weights, count: int) -> np.ndar
     return rows[np.array(chosen)[kept]]
 
 
+def _reaches(table: pa.Table | pa.RecordBatch, weights: Weights, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared lengths of the products' blended vectors, and their distances to all pivots."""
+    rows = _blended_matrix(table, weights)
+    norms = np.einsum("nd,nd->n", rows, rows)
+    return norms, np.sqrt(np.maximum(norms[:, None] + np.einsum("pd,pd->p", pivots, pivots) - 2 * rows @ pivots.T, 0))
+
+
 def _cell_assigner(shared, weights: Weights):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = shared.value
-        pivot_norms = np.einsum("pd,pd->p", pivots, pivots)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = _blended_matrix(batch, weights)
-            norms = np.einsum("nd,nd->n", rows, rows)
-            reaches = np.sqrt(np.maximum(norms[:, None] + pivot_norms - 2 * rows @ pivots.T, 0))
+            norms, reaches = _reaches(batch, weights, pivots)
             usable = np.arange(len(pivots)) < batch.column("pivots").to_numpy()[:, None]
             cell = np.where(usable, reaches, np.inf).argmin(axis=1)
-            offsets = np.arange(0, reaches.size + 1, len(pivots), dtype=np.int32)
             added = {
                 "cell": pa.array(cell.astype(np.int32)),
                 "reach": pa.array(reaches[np.arange(len(cell)), cell]),
                 "norm": pa.array(norms),
-                "reaches": pa.ListArray.from_arrays(offsets, reaches.ravel()),
             }
             kept = [c for c in batch.schema.names if c != "pivots"]
             yield pa.RecordBatch.from_arrays(
@@ -90,14 +102,13 @@ def _cell_assigner(shared, weights: Weights):
 
 
 def _assign_cells(side: DataFrame, large: DataFrame, shared, weights: Weights) -> DataFrame:
-    """Rows of the large categories with their cell and distances to the pivots."""
+    """Rows of the large categories with their cell, the distance to its pivot, and the square of their length."""
     schema = T.StructType(
         side.schema.fields
         + [
             T.StructField("cell", T.IntegerType()),
             T.StructField("reach", T.DoubleType()),
             T.StructField("norm", T.DoubleType()),
-            T.StructField("reaches", T.ArrayType(T.DoubleType())),
         ]
     )
     return side.join(large.select("category_id", "pivots"), "category_id").select(
@@ -164,86 +175,90 @@ def _bundled(tiles: DataFrame, rows: int, *order: Column) -> DataFrame:
     return tiles.withColumn("bundle", F.floor(before / rows).cast("int"))
 
 
-def _compare(queries: DataFrame, candidates: DataFrame, tiles: DataFrame, kernel, schema) -> DataFrame:
-    """Run the listed tiles: a query part against a bundle of candidate parts."""
-    spark = queries.sparkSession
-    bundles = tiles.select(*KEYS).distinct()
-    left = queries.join(bundles, ["category_id", "query_part"])
-    right = candidates.join(tiles.select(*KEYS, "candidate_part"), ["category_id", "candidate_part"])
-    tasks = task_count(spark, bundles.count())
-    left, right = (
-        side.select(*(F.col(c).alias(c) for c in side.columns)).repartition(tasks, *KEYS).groupBy(*KEYS)
-        for side in (left, right)
-    )
-    return left.cogroup(right).applyInArrow(kernel, schema)
-
-
-def pruned_shortlists(
-    features: DataFrame,
-    candidates: DataFrame,
-    large: DataFrame,
-    weights: Weights,
-    k: int,
-    digits: int,
-    null_safe_brand: bool,
-    tile_rows: int,
-    schema: T.StructType,
+def _sure_batches(shared, weights: Weights, scalars: list[str]):
+    """What the bounds ask of every query: its distances to the pivots, and the score it is sure of."""
+
+    def result(_: tuple, part: Nearest) -> Iterator[pa.RecordBatch]:
+        sure, names = part.sure(), [*QUERY_PART, *scalars]
+        for start in range(0, len(sure), SURE_ROWS):
+            rows = part.queries.slice(start, SURE_ROWS)
+            norms, reaches = _reaches(rows, weights, shared.value)
+            offsets = np.arange(0, reaches.size + 1, reaches.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [*(rows.column(c).combine_chunks() for c in names), pa.array(norms),
+                 pa.ListArray.from_arrays(offsets, reaches.ravel()), sure.slice(start, SURE_ROWS)],
+                names=[*names, "norm", "reaches", "sure"],
+            )
+
+    return result
+
+
+def pruned_search(
+    features: DataFrame, candidates: DataFrame, large: DataFrame, search: Search, row_bytes: int, schema: T.StructType
 ) -> DataFrame | None:
-    """Shortlists that contain the best ``k`` units of every query in the
-    ``large`` categories (``category_id, candidate_parts``), or None when the
-    bounds rule out too little to be worth their finer cut."""
-    spark = features.sparkSession
+    """The best ``k`` units of every query in the ``large`` categories (``category_id,
+    candidate_parts``), or None when the bounds rule out too little to be worth their finer cut.
+    Distances to pivots, which are longer than the vectors, are worked out where they are read."""
+    spark, weights = features.sparkSession, search.weights
     wanted = F.least(F.lit(MAX_PIVOTS), 16 * F.col("candidate_parts"))
     large = large.select("category_id", wanted.alias("pivots"))
     count = large.agg(F.max("pivots")).first()[0]
     members = features.join(large, "category_id", "left_semi")
     shared = spark.sparkContext.broadcast(_choose_pivots(members, weights, count))
 
-    q = _cut_cells(
-        materialise(_assign_cells(features, large, shared, weights), "query-cells"), weights, tile_rows, "query_part"
-    )
-    c = _cut_cells(
-        materialise(_assign_cells(candidates, large, shared, weights).drop("reaches"), "candidate-cells"),
-        weights, tile_rows, "candidate_part", SHELLS,
-    )
-    compared = [n for n in features.columns if n != "category_id"]
+    names = features.columns
+    cells = lambda side, name: materialise(_assign_cells(side.select(*names), large, shared, weights), name)
+    q = _cut_cells(cells(features, "query-cells"), weights, search.rows, "query_part")
+    c = _cut_cells(cells(candidates, "candidate-cells"), weights, search.rows, "candidate_part", SHELLS)
+    compared = [n for n in names if n != "category_id"]
     queries, others = q.select("category_id", "query_part", *compared), c.select("category_id", "candidate_part", *compared)
     q_parts = materialise(
         q.groupBy("category_id", "query_part", "cell").agg(F.count(F.lit(1)).alias("n_queries")), "query-parts"
     )
+    parts = q_parts.count()
     facts = materialise(_part_facts(c, weights), "part-facts")
-    kernel = shortlist_kernel(k, weights, digits, null_safe_brand)
+
+    def compare(tiles: DataFrame, waves: int, kernel, schema: T.StructType, kept=lambda rows: rows) -> DataFrame:
+        """Run the listed tiles: a query part against candidate parts."""
+        right = others.join(kept(tiles).select(*QUERY_PART, "candidate_part"), ["category_id", "candidate_part"])
+        return search_parts(kept(queries), right, task_count(spark, -(-parts // waves)), kernel, schema)
 
     # first pass: every query part with one bundle of its own cell, inner shells first
     inside = q_parts.join(
         facts.select("category_id", F.col("candidate_cell").alias("cell"), "candidate_part", "candidate_shell", "n_candidates"),
         ["category_id", "cell"],
     )
-    own = _bundled(inside, tile_rows, F.col("candidate_shell")).where("bundle = 0")
-    own = materialise(own.select(*KEYS, "candidate_part", "n_queries", "n_candidates"), "own-tiles")
-    first = materialise(_compare(queries, others, own, kernel, schema), "first-pass")
-
-    # second pass: parts that some query of a part cannot rule out
-    sure = first.groupBy("idX").agg(F.min("score").alias("sure"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    own = _bundled(inside, search.rows, F.col("candidate_shell")).where("bundle = 0")
     scalars = [n for n, w in (("brand", weights.brand), ("price_hint", weights.price)) if w]
-    open_ = F.col("sure").isNull() | (least_distance(weights) <= 1 - F.col("sure") + 10.0**-digits + SLACK)
+    kinds = {f.name: f.dataType for f in q.schema}
+    vector = T.ArrayType(T.DoubleType())
+    sure_schema = T.StructType(
+        [T.StructField(n, kinds[n]) for n in (*QUERY_PART, *scalars)]
+        + [T.StructField("norm", T.DoubleType()), T.StructField("reaches", vector), T.StructField("sure", T.DoubleType())]
+    )
+    sure = compare(
+        materialise(own.select(*QUERY_PART, "candidate_part"), "own-tiles"), 1,
+        nearest_batches(search, _sure_batches(shared, weights, scalars)), sure_schema,
+    )
+
+    # second pass: parts that some query of a part cannot rule out. There is at most one part
+    # per shell of a cell, and one per tile of candidates: a small table beside theirs
+    open_ = F.col("sure").isNull() | (least_distance(weights) <= 1 - F.col("sure") + 10.0**-search.digits + SLACK)
     left_open = (
-        q.select("category_id", "query_part", F.col("id").alias("idX"), "norm", "reaches", *scalars)
-        .join(unbroadcast(sure), "idX", "left")
-        .join(facts, "category_id")
+        sure.join(F.broadcast(facts), "category_id")
         .where(open_)
         .groupBy("category_id", "query_part", "candidate_part")
         .agg(F.first("n_candidates").alias("n_candidates"))
-        .join(own, ["category_id", "query_part", "candidate_part"], "left_anti")
         .join(q_parts.select("category_id", "query_part", "n_queries"), ["category_id", "query_part"])
     )
-    tiles = materialise(_bundled(left_open, tile_rows), "tiles")
+    tiles = materialise(left_open, "tiles")
     work = F.sum(F.col("n_queries").cast("double") * F.col("n_candidates"))
-    compared_pairs = tiles.agg(work).first()[0] or 0.0
+    compared_pairs, copies = tiles.agg(work, F.sum("n_candidates")).first()
     total = (
         q_parts.groupBy("category_id").agg(F.sum("n_queries").alias("n_queries"))
         .join(facts.groupBy("category_id").agg(F.sum("n_candidates").alias("n_candidates")), "category_id")
     )
-    if compared_pairs > WORTHWHILE * (total.agg(work).first()[0] or 0.0):
+    if (compared_pairs or 0.0) > WORTHWHILE * (total.agg(work).first()[0] or 0.0):
         return None
-    return first.unionByName(_compare(queries, others, tiles, kernel, schema))
+    kernel = nearest_batches(search, found_batches)
+    return in_waves(copies or 0, row_bytes, lambda kept, waves: compare(tiles, waves, kernel, schema, kept))

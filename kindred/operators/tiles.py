@@ -1,16 +1,19 @@
 """Comparing every product of a category with every other one, in bounded tiles.
 
 A category is cut into query parts and candidate parts of at most ``tile_rows``
-rows. Each task compares one query part with one candidate part by matrix
-products and returns only what can still matter: a shortlist of at most ``k``
-rows per query, or a count per asked rank. Pairs are never emitted, and a category
-that holds a third of all rows is spread over as many tasks as it needs.
+rows. Parts are compared by matrix products. For the best ``k``, a task has one
+query part at a time and lets the candidates pass by, keeping ``k`` rows per query:
+no shortlists of parts are written or merged. For asked ranks, a task compares one
+query part with one candidate part and returns a count per rank. Pairs are never
+emitted, and a category that holds a third of all rows is spread over as many tasks
+as it needs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,13 +23,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.functions.distance import Weights
-from kindred.session import materialise
+from kindred.session import materialise, scratch_path, shuffles_freed
 
 TILE_BYTES = 64 << 20
 MAX_TILE_ROWS = 16_384
 MIN_QUERY_ROWS = 256
 CHUNK_CELLS = 500_000
 CLOSE_SHARE = 0.25
+#: Bytes of candidates copied to query parts at a time, and of a row without its vectors.
+WAVE_BYTES, ROW_BYTES = 4 << 30, 100
+#: Below every score.
+NEVER = -(1 << 62)
+QUERY_PART = ("category_id", "query_part")
 
 
 @dataclass
@@ -230,19 +238,23 @@ def with_units(candidates: DataFrame, rows: int) -> DataFrame:
     )
 
 
-def _close_cells(base, own, starts, k, most, unit, limit) -> tuple[np.ndarray, np.ndarray] | None:
+def _close_cells(base, own, starts, k, most, unit, limit, floor=None) -> tuple[np.ndarray, np.ndarray] | None:
     """Row and column numbers of the cells that can be among the best ``k`` units of their row, or
     None where that is not known or spares too little.
 
     ``base`` are distances without prices, which add between nothing and ``most``; units begin at
     the columns ``starts``. ``k`` units are no farther than the k-th smallest base and ``most``, so
-    cells whose base is farther cannot count. Cells of a product with itself (``own``) are left out.
+    cells whose base is farther cannot count, nor cells that cannot reach the score ``floor``, where
+    it is given. Cells of a product with itself (``own``) are left out.
     """
     if not (np.abs([base.min(), base.max()]).max() + 2 + most.max()) * unit < limit:
         return None
     base[own] = np.inf
-    nearest = base if len(starts) == base.shape[1] else np.minimum.reduceat(base, starts, axis=1)
-    reach = np.partition(nearest, k - 1, axis=1)[:, k - 1] + most + 2 / unit
+    if floor is not None:
+        reach = 1 - floor / unit + 2 / unit
+    else:
+        nearest = base if len(starts) == base.shape[1] else np.minimum.reduceat(base, starts, axis=1)
+        reach = np.partition(nearest, k - 1, axis=1)[:, k - 1] + most + 2 / unit
     if not np.isfinite(reach).all():
         return None
     close = base <= reach[:, None]
@@ -251,6 +263,100 @@ def _close_cells(base, own, starts, k, most, unit, limit) -> tuple[np.ndarray, n
     return np.divmod(np.flatnonzero(close), close.shape[1])
 
 
+def _best_of_tile(left, right, k, weights, digits, null_safe_brand, final, floor=None):
+    """Rows of ``left`` and of ``right`` and scores, in whole units of ``digits``, of the best ``k`` units
+    per query; more in :func:`shortlist_kernel`. With ``floor``, a score per query that ``k`` units are
+    known to reach elsewhere, only what reaches it as well."""
+    unit, n = 10**digits, right.num_rows
+    if not left.num_rows or not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    # below every score; times the number of rows it still fits 64 bits
+    never = -((1 << 62) // max(1, n))
+    out = {"row": [], "column": [], "score": []}
+    groups = pd.factorize(right.column("group_id").to_pandas())[0]
+    alone = groups < 0
+    groups[alone] = groups.max(initial=-1) + 1 + np.arange(alone.sum())
+    order = np.argsort(groups, kind="stable")
+    right = right.take(pa.array(order))
+    starts = np.flatnonzero(np.r_[True, np.diff(groups[order]) > 0])
+    # where all of a group is in this tile, its representative is known, and it is cut like a product
+    apart = ~alone[order]
+    if "whole" in right.column_names:
+        apart &= ~_values(right.column("whole")).astype(bool)
+    ids, places = _values(right.column("id")), _values(right.column("pos"))
+    by_id = np.argsort(ids, kind="stable")
+    id_rank = np.empty(n, np.int64)
+    id_rank[by_id] = np.arange(n)
+    by_place = pd.DataFrame({"p": places, "i": ids}).sort_values(["p", "i"]).index.to_numpy()
+    place_rank = np.empty(n, np.int64)
+    place_rank[by_place] = np.arange(n)
+    query_ids = _values(left.column("id"))
+    self_rows, self_columns = _same_id(query_ids, ids)
+    distances = TileDistances(left, right, weights, null_safe_brand)
+    # the representative of a group in parts may be in another tile and have any id: at
+    # equal similarity it comes before nothing for certain, and is never cut for its id
+    open_ = apart[starts] & (not final)
+    most = distances.most_by_price() if distances.vectors and (floor is not None or len(starts) > k) else None
+    for start, stop in _chunks(left.num_rows, n):
+        low, high = np.searchsorted(self_rows, (start, stop))
+        own = self_rows[low:high] - start, self_columns[low:high]
+        least_score = None if floor is None else floor[start:stop]
+        base = None if most is None else distances.without_price(start, stop)
+        cells = None if base is None else _close_cells(base, own, starts, k, most[start:stop], unit, -never, least_score)
+        if cells is not None:
+            row, at = cells
+            if not len(row):
+                continue
+            exact = base[row, at]
+            if weights.price:
+                exact = exact + distances.price_share(distances.query_price[start:stop][row], distances.candidate_price[at])
+            score = np.rint((1 - exact) * unit).astype(np.int64)
+            owner = np.searchsorted(starts, at, side="right") - 1
+            first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(owner) != 0)])
+            best = np.maximum.reduceat(score * n + (n - 1 - place_rank[at]), first)
+            row, owner, score = row[first], owner[first], best // n
+            ranked = score * n + id_rank[by_place[n - 1 - best % n]]
+            if floor is not None:
+                picked = np.flatnonzero(score >= least_score[row])
+                picked = picked[np.lexsort((-ranked[picked], row[picked]))]
+                picked = picked[np.arange(len(picked)) - np.searchsorted(row[picked], row[picked]) < k]
+            else:
+                sure = np.where(open_[owner], score * n, ranked)
+                # every query has k units here, so each has a k-th one
+                kth = np.searchsorted(row, np.arange(stop - start)) + k - 1
+                least = sure[np.lexsort((-sure, row))][kth]
+                picked = np.where(open_[owner], score * n + n - 1, ranked) >= least[row]
+            out["row"].append(row[picked] + start)
+            out["column"].append(by_id[ranked[picked] % n])
+            out["score"].append(score[picked])
+            continue
+        score = np.rint((1 - distances.rows(start, stop)) * unit)
+        if not np.abs(score).max() < -never:  # also where a score is not a number
+            raise ValueError(f"{digits} digits are too many for these scores, or a vector holds NaN")
+        score = score.astype(np.int64)
+        score[own] = never
+        if len(starts) < n:
+            best = np.maximum.reduceat(score * n + (n - 1 - place_rank), starts, axis=1)
+            score = best // n
+            ranked = score * n + id_rank[by_place[n - 1 - best % n]]
+        else:
+            ranked = score * n + id_rank
+        valid = score > never
+        if floor is not None:
+            valid &= score >= least_score[:, None]
+        if ranked.shape[1] > k:
+            sure = np.where(open_, score * n, ranked)
+            least = -np.partition(-sure, k - 1, axis=1)[:, k - 1 : k]
+            valid &= np.where(open_, score * n + n - 1, ranked) >= least
+        row, at = np.nonzero(valid)
+        picked = ranked[row, at]
+        out["row"].append(row + start)
+        out["column"].append(by_id[picked % n])
+        out["score"].append(picked // n)
+    rows, columns, scores = (np.concatenate(v) if v else np.empty(0, np.int64) for v in out.values())
+    return rows, order[columns], scores
+
+
 def shortlist_kernel(k: int, weights: Weights, digits: int, null_safe_brand: bool, final: bool = False):
     """Best ``k`` units per query of a tile. A unit is a group (its best member
     by similarity, then position) or an ungrouped product; units are ordered by
@@ -260,84 +366,7 @@ def shortlist_kernel(k: int, weights: Weights, digits: int, null_safe_brand: boo
     unit = 10**digits
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
-        # below every score; times the number of rows it still fits 64 bits
-        never = -((1 << 62) // max(1, right.num_rows))
-        out = {"idX": [], "column": [], "score": []}
-        n = right.num_rows
-        if left.num_rows and n:
-            groups = pd.factorize(right.column("group_id").to_pandas())[0]
-            alone = groups < 0
-            groups[alone] = groups.max(initial=-1) + 1 + np.arange(alone.sum())
-            order = np.argsort(groups, kind="stable")
-            right = right.take(pa.array(order))
-            starts = np.flatnonzero(np.r_[True, np.diff(groups[order]) > 0])
-            # where all of a group is in this tile, its representative is known, and it is cut like a product
-            apart = ~alone[order]
-            if "whole" in right.column_names:
-                apart &= ~_values(right.column("whole")).astype(bool)
-            ids, places = _values(right.column("id")), _values(right.column("pos"))
-            by_id = np.argsort(ids, kind="stable")
-            id_rank = np.empty(n, np.int64)
-            id_rank[by_id] = np.arange(n)
-            by_place = pd.DataFrame({"p": places, "i": ids}).sort_values(["p", "i"]).index.to_numpy()
-            place_rank = np.empty(n, np.int64)
-            place_rank[by_place] = np.arange(n)
-            query_ids = _values(left.column("id"))
-            self_rows, self_columns = _same_id(query_ids, ids)
-            distances = TileDistances(left, right, weights, null_safe_brand)
-            # the representative of a group in parts may be in another tile and have any id: at
-            # equal similarity it comes before nothing for certain, and is never cut for its id
-            open_ = apart[starts] & (not final)
-            most = distances.most_by_price() if distances.vectors and len(starts) > k else None
-            for start, stop in _chunks(left.num_rows, n):
-                low, high = np.searchsorted(self_rows, (start, stop))
-                own = self_rows[low:high] - start, self_columns[low:high]
-                base = None if most is None else distances.without_price(start, stop)
-                cells = None if base is None else _close_cells(base, own, starts, k, most[start:stop], unit, -never)
-                if cells is not None:
-                    row, at = cells
-                    exact = base[row, at]
-                    if weights.price:
-                        exact = exact + distances.price_share(distances.query_price[start:stop][row], distances.candidate_price[at])
-                    score = np.rint((1 - exact) * unit).astype(np.int64)
-                    owner = np.searchsorted(starts, at, side="right") - 1
-                    first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(owner) != 0)])
-                    best = np.maximum.reduceat(score * n + (n - 1 - place_rank[at]), first)
-                    row, owner, score = row[first], owner[first], best // n
-                    ranked = score * n + id_rank[by_place[n - 1 - best % n]]
-                    sure = np.where(open_[owner], score * n, ranked)
-                    # every query has k units here, so each has a k-th one
-                    kth = np.searchsorted(row, np.arange(stop - start)) + k - 1
-                    least = sure[np.lexsort((-sure, row))][kth]
-                    picked = np.where(open_[owner], score * n + n - 1, ranked) >= least[row]
-                    out["idX"].append(row[picked] + start)
-                    out["column"].append(by_id[ranked[picked] % n])
-                    out["score"].append(score[picked] / unit)
-                    continue
-                score = np.rint((1 - distances.rows(start, stop)) * unit)
-                if not np.abs(score).max() < -never:  # also where a score is not a number
-                    raise ValueError(f"{digits} digits are too many for these scores, or a vector holds NaN")
-                score = score.astype(np.int64)
-                score[own] = never
-                if grouped := len(starts) < n:
-                    best = np.maximum.reduceat(score * n + (n - 1 - place_rank), starts, axis=1)
-                    score = best // n
-                    ranked = score * n + id_rank[by_place[n - 1 - best % n]]
-                else:
-                    ranked = score * n + id_rank
-                valid = score > never
-                if ranked.shape[1] > k:
-                    sure = np.where(open_, score * n, ranked)
-                    least = -np.partition(-sure, k - 1, axis=1)[:, k - 1 : k]
-                    valid &= np.where(open_, score * n + n - 1, ranked) >= least
-                row, at = np.nonzero(valid)
-                picked = ranked[row, at]
-                out["idX"].append(row + start)
-                out["column"].append(by_id[picked % n])
-                out["score"].append(picked // n / unit)
-        rows, columns, scores = (
-            np.concatenate(v) if v else np.empty(0, t) for v, t in zip(out.values(), (int, int, float))
-        )
+        rows, columns, scores = _best_of_tile(left, right, k, weights, digits, null_safe_brand, final)
         y = right.select(["id", "group_id", "pos"]).take(pa.array(columns, pa.int64()))
         return pa.table(
             {
@@ -345,13 +374,214 @@ def shortlist_kernel(k: int, weights: Weights, digits: int, null_safe_brand: boo
                 "idY": y.column("id"),
                 "group_id": y.column("group_id"),
                 "pos": y.column("pos"),
-                "score": pa.array(scores, pa.float64()),
+                "score": pa.array(scores / unit, pa.float64()),
             }
         )
 
     return kernel
 
 
+@dataclass(frozen=True)
+class Search:
+    """How the best ``k`` units of a query are found; ``rows`` candidates are compared at a time."""
+
+    weights: Weights
+    k: int
+    digits: int
+    null_safe_brand: bool
+    rows: int
+
+
+class Nearest:
+    """The best ``k`` units of the queries of one part, while candidates come by in the order of
+    (group, position, id). A group goes into one comparison as a whole; of one that has too many
+    rows for that, the best member so far is kept until the group is over."""
+
+    def __init__(self, queries: pa.Table, search: Search):
+        n, self.queries, self.search = queries.num_rows, queries, search
+        self.scores, self.codes = np.full((n, search.k), NEVER), np.full((n, search.k), -1)
+        self.names = np.empty(0, object)
+        self.held, self.size, self.going = [], 0, None
+        self.best, self.best_name = np.full(n, NEVER), np.empty(n, object)
+
+    def add(self, candidates: pa.Table) -> None:
+        self.held.append(candidates)
+        self.size += candidates.num_rows
+        if self.size >= self.search.rows:
+            self.compare()
+
+    def compare(self, last: bool = False) -> None:
+        """Compare what is held but for the last group, of which more may come."""
+        table = pa.concat_tables(self.held).combine_chunks() if self.held else None
+        self.held, self.size = [], 0
+        groups = table.column("group_id").to_pandas().to_numpy(object) if table is not None else np.empty(0, object)
+        if self.going is not None:
+            others = np.flatnonzero(groups != self.going)
+            more = others[0] if len(others) else len(groups)
+            if more:
+                self._part_of_group(table.slice(0, more))
+                table, groups = table.slice(more), groups[more:]
+            if last or len(groups):
+                self._end_group()
+        if not len(groups):
+            return
+        n = cut = len(groups)
+        if not last and not pd.isna(groups[-1]):
+            others = np.flatnonzero(groups != groups[-1])
+            cut = others[-1] + 1 if len(others) else 0
+        if cut == 0 and n >= self.search.rows:
+            self.going = groups[-1]
+            self._part_of_group(table)
+            return
+        if cut:
+            self._keep(table.slice(0, cut), *self._best(table.slice(0, cut), self.search.k, self.scores[:, -1]))
+        if cut < n:
+            self.held, self.size = [table.slice(cut)], n - cut
+
+    def _best(self, table: pa.Table, k: int, floor: np.ndarray | None):
+        s = self.search
+        floor = floor if floor is not None and (floor > NEVER).all() else None
+        return _best_of_tile(self.queries, table, k, s.weights, s.digits, s.null_safe_brand, True, floor)
+
+    def _part_of_group(self, table: pa.Table) -> None:
+        rows, columns, scores = self._best(table, 1, None)
+        better = scores > self.best[rows]  # rows come by position, so at equal scores the earlier one stays
+        rows, ids = rows[better], _values(table.column("id"))
+        self.best[rows], self.best_name[rows] = scores[better], ids[columns[better]]
+
+    def _end_group(self) -> None:
+        rows = np.flatnonzero(self.best > NEVER)
+        names, codes = np.unique(self.best_name[rows], return_inverse=True)
+        self._merge(rows, names, codes, self.best[rows])
+        self.best[:], self.going = NEVER, None
+
+    def _keep(self, table: pa.Table, rows: np.ndarray, columns: np.ndarray, scores: np.ndarray) -> None:
+        used, codes = np.unique(columns, return_inverse=True)
+        self._merge(rows, _values(table.column("id"))[used].astype(object), codes, scores)
+
+    def _merge(self, rows: np.ndarray, names: np.ndarray, codes: np.ndarray, scores: np.ndarray) -> None:
+        if not len(rows):
+            return
+        k, every = self.search.k, np.concatenate([self.names, names])
+        rank = np.empty(len(every), np.int64)
+        rank[np.argsort(every, kind="stable")] = np.arange(len(every))
+        hit = np.unique(rows)
+        row = np.r_[np.repeat(hit, k), rows]
+        score, code = np.r_[self.scores[hit].ravel(), scores], np.r_[self.codes[hit].ravel(), codes + len(self.names)]
+        there = np.flatnonzero(score > NEVER)
+        order = there[np.lexsort((-rank[code[there]], -score[there], row[there]))]
+        place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+        order, place = order[place < k], place[place < k]
+        self.scores[row[order], place], self.codes[row[order], place] = score[order], code[order]
+        known = self.codes >= 0
+        used, self.codes[known] = np.unique(self.codes[known], return_inverse=True)
+        self.names = every[used]
+
+    def sure(self) -> pa.Array:
+        """Per query, the score that ``k`` units reach; null where there are fewer."""
+        least = self.scores[:, -1]
+        return pa.array(least / 10**self.search.digits, pa.float64(), mask=least <= NEVER)
+
+    def found(self) -> pa.Table:
+        rows, places = np.nonzero(self.codes >= 0)
+        id_ = self.queries.column("id")
+        names = pa.array(self.names, id_.type)
+        return pa.table({
+            "idX": id_.take(pa.array(rows)),
+            "idY": names.take(pa.array(self.codes[rows, places])),
+            "score": self.scores[rows, places] / 10**self.search.digits,
+        })
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int, pa.Table]]:
+    """(query part, side, rows) of batches that are sorted by them, piece by piece."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.column("category_id").to_pandas().to_numpy()
+        parts, sides = batch.column("query_part").to_numpy(), batch.column("side").to_numpy()
+        changes = (names[1:] != names[:-1]) | (parts[1:] != parts[:-1]) | (sides[1:] != sides[:-1])
+        bounds = np.r_[0, np.flatnonzero(changes) + 1, batch.num_rows]
+        table = pa.Table.from_batches([batch])
+        for a, b in zip(bounds, bounds[1:]):
+            yield (names[a], parts[a]), int(sides[a]), table.slice(a, b - a)
+
+
+def nearest_batches(search: Search, result: Callable[[tuple, Nearest], Iterator[pa.RecordBatch]]):
+    """Batches sorted by query part, side (queries first), group, position and id; gives ``result`` of every query part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, queries, nearest = None, [], None
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if not queries:  # candidates without a query
+                return
+            part = nearest or Nearest(pa.concat_tables(queries).combine_chunks(), search)
+            part.compare(last=True)
+            yield from result(key, part)
+
+        for at, side, rows in _runs(batches):
+            if at != key:
+                yield from ended()
+                key, queries, nearest = at, [], None
+            if side == 0:
+                queries.append(rows)
+            elif queries:
+                nearest = nearest or Nearest(pa.concat_tables(queries).combine_chunks(), search)
+                nearest.add(rows)
+        yield from ended()
+
+    return run
+
+
+def found_batches(_: tuple, part: Nearest) -> Iterator[pa.RecordBatch]:
+    yield from part.found().to_batches(max_chunksize=1 << 16)
+
+
+def search_parts(queries: DataFrame, candidates: DataFrame, tasks: int, kernel, schema: T.StructType) -> DataFrame:
+    """Run a kernel of :func:`nearest_batches` over query parts. Both sides have the columns of a comparison,
+    ``category_id`` and ``query_part``; candidates come once for every query part they are compared with."""
+    names = [c for c in queries.columns if c not in QUERY_PART]
+    sides = (side.select(*QUERY_PART, F.lit(i).alias("side"), *names) for i, side in enumerate((queries, candidates)))
+    rows = reduce(DataFrame.unionByName, sides).repartition(tasks, *QUERY_PART)
+    return rows.sortWithinPartitions(*QUERY_PART, "side", "group_id", F.asc_nulls_last("pos"), "id").mapInArrow(kernel, schema)
+
+
+def in_waves(copies: int, row_bytes: int, run: Callable[[Callable[[DataFrame], DataFrame], int], DataFrame]) -> DataFrame:
+    """Candidates that are copied to query parts take at most about ``WAVE_BYTES`` of disk at a time: more are
+    handled in waves of query parts, each written before the next begins. ``run`` gets what keeps the
+    query parts of a wave, and the number of waves."""
+    waves = max(1, -(-copies * (row_bytes + ROW_BYTES) // WAVE_BYTES))
+    if waves == 1:
+        return run(lambda rows: rows, 1)
+    wave = F.pmod(F.xxhash64(*QUERY_PART, F.lit(5)), F.lit(waves))
+    path = None
+    for i in range(waves):
+        found = run(lambda rows: rows.where(wave == i), waves)  # noqa: B023
+        path = path or scratch_path(found.sparkSession, "neighbours")
+        with shuffles_freed(found.sparkSession):
+            found.write.mode("append").parquet(path)
+    return found.sparkSession.read.schema(found.schema).parquet(path)
+
+
+def search_all(features: DataFrame, candidates: DataFrame, large: DataFrame, search: Search, row_bytes: int, schema: T.StructType) -> DataFrame:
+    """The best units of every query in the ``large`` categories (``category_id, query_parts``), by comparing all."""
+    names = [c for c in features.columns if c != "category_id"]
+    large = large.select("category_id", F.col("query_parts").cast("long").alias("query_parts"))
+    counted = [side.select("category_id", *names).join(large, "category_id") for side in (features, candidates)]
+    copies = counted[1].agg(F.sum("query_parts")).first()[0] or 0
+    parts = large.agg(F.sum("query_parts")).first()[0] or 0
+    queries = counted[0].select("category_id", F.pmod(F.xxhash64("id"), "query_parts").alias("query_part"), *names)
+    others = counted[1].select("category_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_parts") - 1)).alias("query_part"), *names)
+    kernel = nearest_batches(search, found_batches)
+
+    def run(kept: Callable[[DataFrame], DataFrame], waves: int) -> DataFrame:
+        tasks = task_count(features.sparkSession, -(-parts // waves))
+        return search_parts(kept(queries), kept(others), tasks, kernel, schema)
+
+    return in_waves(copies, row_bytes, run)
+
+
 def rank_kernel(weights: Weights, digits: int, null_safe_brand: bool, exclude_self: bool):
     """For every asked (query, target, target distance): how many candidates of
     the tile come before the target by (distance, id). Target distances come in

@@ -230,3 +230,42 @@ def test_cells_ruled_out_without_their_price_change_nothing(monkeypatch, final):
         found[share] = sorted(zip(*(out.column(c).to_pylist() for c in ("idX", "idY", "score")))), sum(seen)
     assert found[0.25][0] == found[-1.0][0]
     assert found[0.25][1] < 300 * n / 4 < 300 * n <= found[-1.0][1]
+
+
+@pytest.mark.parametrize("prune", [True, False])
+def test_candidates_pass_by_in_waves_and_leave_no_shortlists(spark, monkeypatch, prune):
+    from kindred.operators import neighbours, pruning
+
+    # a group of more rows than are compared at a time, groups that lie across its ends, and ties between all of them
+    rng = random.Random(7)
+    rows = [
+        (f"p{i:03}", f"s{rng.random():.6f}", "big" if i % 3 == 0 else rng.choice([None, "a", "g1", "g2", "z"]), "c", rng.choice("xy"), float(rng.randrange(90, 120)),
+         angle(rng.choice([0, 40, 41])), [1.0]) for i in range(240)
+    ]
+    w, seen = Weights(0.5, 0, 0, 0.2, 0.3), []
+    monkeypatch.setattr(tiles, "WAVE_BYTES", 30_000)
+    monkeypatch.setattr(pruning, "WORTHWHILE", 2.0)
+    for module, name in ((neighbours, "search_all"), (neighbours, "pruned_search")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, real=real: seen.append(real(*a)) or seen[-1])
+    assert run(spark, rows, w, 4, tile_rows=25, prune=prune) == brute_force(rows, w, 4, 6)
+    # ten parts a side, and yet no more rows than the result has
+    assert len(seen) == 1 and seen[0].count() == 240 * 4
+    assert "neighbours-" in seen[0].inputFiles()[0]
+
+
+def test_written_tables_give_back_their_shuffles(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from kindred.session import materialise
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: sum("shuffle" in manager.getAllFiles().apply(i).getName() for i in range(manager.getAllFiles().size()))
+    before = shuffles()
+    written = [materialise(spark.range(1000).groupBy(F.col("id") % 7).agg(F.sum("id").alias("s"))) for _ in range(3)]
+    until = time.time() + 20
+    while shuffles() > before and time.time() < until:
+        time.sleep(0.2)
+    assert shuffles() <= before and all(w.count() == 7 for w in written)
