@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.functions.distance import Weights
-from kindred.session import materialise, scratch_path, shuffles_freed
+from kindred.session import materialise, materialise_waves
 
 TILE_BYTES = 64 << 20
 MAX_TILE_ROWS = 16_384
@@ -555,13 +555,7 @@ def in_waves(copies: int, row_bytes: int, run: Callable[[Callable[[DataFrame], D
     if waves == 1:
         return run(lambda rows: rows, 1)
     wave = F.pmod(F.xxhash64(*QUERY_PART, F.lit(5)), F.lit(waves))
-    path = None
-    for i in range(waves):
-        found = run(lambda rows: rows.where(wave == i), waves)  # noqa: B023
-        path = path or scratch_path(found.sparkSession, "neighbours")
-        with shuffles_freed(found.sparkSession):
-            found.write.mode("append").parquet(path)
-    return found.sparkSession.read.schema(found.schema).parquet(path)
+    return materialise_waves((run(lambda rows: rows.where(wave == i), waves) for i in range(waves)), "neighbours")  # noqa: B023
 
 
 def search_all(features: DataFrame, candidates: DataFrame, large: DataFrame, search: Search, row_bytes: int, schema: T.StructType) -> DataFrame:

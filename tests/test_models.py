@@ -104,3 +104,25 @@ def test_inference_of_short_documents_is_spread_and_in_batches(spark, corpus, mo
     assert shards[0][2] >= 400 * e.STEP // 1_000  # their 600 tokens alone would be one shard
     few = dict(e.infer_document_vectors(short.where("doc IN ('s1', 's7', 's399')"), words).collect())
     assert len(together) == 400 and all(np.allclose(together[d], v, rtol=0, atol=1e-12) for d, v in few.items())
+
+
+def test_waves_of_documents_hold_few_words(spark, corpus, monkeypatch):
+    from pathlib import Path
+
+    from kindred.operators import skipgram
+    from kindred.session import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    runs = []
+    for wave_bytes in (1 << 31, 1):  # the second: two shards per core
+        monkeypatch.setattr(skipgram, "WAVE_BYTES", wave_bytes)
+        before = set(folder.iterdir())
+        docs, words = e.train_document_vectors(corpus.repartition(1), dim=4, epochs=2, alpha=0.1, shard_tokens=100, pool=30)
+        inferred = e.infer_document_vectors(corpus, words, epochs=2, shard_tokens=100, pool=30)
+        runs.append([dict(docs.collect()), {r.word: (r["count"], *r.win, *r.wout) for r in words.collect()}, dict(inferred.collect())])
+        left = {p.name.rsplit("-", 1)[0]: str(p) for p in set(folder.iterdir()) - before}
+    wave = spark.read.parquet(left["wave"])
+    assert spark.read.parquet(left["shard-words"]).select("shard").distinct().count() > wave.select("shard").distinct().count()
+    assert words.columns == ["word", "count", "win", "wout"]
+    for one, many in zip(*runs):
+        assert set(one) == set(many) and all(np.allclose(one[k], many[k], rtol=0, atol=1e-12) for k in one)
