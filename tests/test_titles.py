@@ -215,3 +215,24 @@ def test_texts_of_one_row_group_are_spread(spark, tmp_path):
         assert found.count() == 3000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
+
+
+def test_lsa_waves_hold_few_shards_and_change_nothing(spark, monkeypatch):
+    from pathlib import Path
+
+    from kindred.session import shared_dir
+
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, [f"w{w}" for w in rng.integers(0, 60, 12)]) for i in range(200)], "id long, tokens array<string>")
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    runs = []
+    for wave_bytes in (1 << 31, 1):  # the second: two shards per core
+        monkeypatch.setattr(lsa, "WAVE_BYTES", wave_bytes, raising=False)
+        before = set(folder.iterdir())
+        projected, values = lsa.lsa_projection(docs, 5, iterations=2, oversample=3, shard_bytes=8000)
+        runs.append((values, dict(projected.collect())))
+        left = {p.name.rsplit("-", 1)[0]: str(p) for p in set(folder.iterdir()) - before}
+    held = spark.read.parquet(left["lsa-wave"]).where("kind = 'p'").select("shard").distinct().count()
+    assert 0 < held < spark.read.parquet(left["lsa-documents"]).select("shard").distinct().count()
+    assert np.allclose(runs[0][0], runs[1][0])
+    assert all(np.allclose(v, runs[1][1][k], atol=1e-9) for k, v in runs[0][1].items()) and len(runs[0][1]) == 200
