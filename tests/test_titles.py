@@ -236,3 +236,13 @@ def test_lsa_waves_hold_few_shards_and_change_nothing(spark, monkeypatch):
     assert 0 < held < spark.read.parquet(left["lsa-documents"]).select("shard").distinct().count()
     assert np.allclose(runs[0][0], runs[1][0])
     assert all(np.allclose(v, runs[1][1][k], atol=1e-9) for k, v in runs[0][1].items()) and len(runs[0][1]) == 200
+
+
+def test_products_of_known_length_are_the_same(spark):
+    from kindred.functions.vectors import dot
+
+    rng = np.random.default_rng(1)
+    rows = [(rng.normal(size=16).tolist(), rng.normal(size=16).tolist()) for _ in range(50)] + [(None, [1.0] * 16)]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>")
+    got = df.select(dot(df.a, df.b).alias("plain"), dot(df.a, df.b, 16).alias("written")).collect()
+    assert all(r.plain == r.written for r in got) and got[-1].written is None
